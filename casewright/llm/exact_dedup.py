@@ -12,6 +12,8 @@ from .common import shared_dir, stage
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # else each of many small stores sets aside megabytes before it holds a row
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
