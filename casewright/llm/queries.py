@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import ann, exact_dedup, licences, mixing, packing, pii, url_graph
 
 
 def queries():
     return {
+        "op2_ann": ann.op2_ann,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+        "op6_packing": packing.op6_packing,
+        "op7_url_filter": url_graph.op7_url_filter,
+        "op8_licences": licences.op8_licences,
+        "op9_pii": pii.op9_pii,
         "op10_mixing": mixing.op10_mixing,
     }
 
@@ -15,5 +20,6 @@ def queries():
 def oracle_sql():
     return {
         "op3_exact_dedup": exact_dedup.ORACLE,
+        "op8_licences": licences.oracle(),
         "op10_mixing": mixing.ORACLE,
     }
