@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, licences, mixing, packing, pii, url_graph
+from . import ann, exact_dedup, licences, mixing, near_dedup, packing, pii, url_graph
 
 
 def queries():
     return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_ann": ann.op2_ann,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op6_packing": packing.op6_packing,
@@ -19,6 +20,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_near_dedup": near_dedup.ORACLE,
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op8_licences": licences.oracle(),
         "op10_mixing": mixing.ORACLE,
