@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, licences, mixing, near_dedup, packing, pii, substrings, url_graph
+from . import ann, exact_dedup, licences, mixing, near_dedup, packing, pii, substrings, toxicity, url_graph
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_ann": ann.op2_ann,
         "op3_exact_dedup": exact_dedup.op3_exact_dedup,
         "op4_substrings": substrings.op4_substrings,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_url_filter": url_graph.op7_url_filter,
         "op8_licences": licences.op8_licences,
