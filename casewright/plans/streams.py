@@ -1 +1,35 @@
+"""Streaming queries, run to the end of what is there, and the statute queries that need no citations."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from casewright.streaming import ingest
+
+from .registry import query, table
+
+
+def _home(spark) -> str:
+    """A folder in the shared checkpoint folder; a temporary one where the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='casewright-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    home, events = _home(spark), table(spark, sf_dir, "events")
+    # the same events arrive twice, in several files
+    events.unionByName(events).repartition(4, "user_id").write.parquet(f"{home}/in")
+    rows = ingest.new_rows(spark, f"{home}/in", events.schema, "event_id", files=2)
+    ingest.run_available(rows, ingest.into_table(f"{home}/out", "event_id"), f"{home}/state")
+    out = ingest.read_table(spark, f"{home}/out", events.schema, "event_id")
+    return out.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.windowed_counts(e, "ts", "event_type").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")

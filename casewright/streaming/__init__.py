@@ -1 +1 @@
-
+"""Structured streaming ingest."""
