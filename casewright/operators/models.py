@@ -43,7 +43,7 @@ def extract(df: DataFrame, key: str, text: str, model: Callable[[str], dict], sc
     return df.select(key, text).mapInPandas(each, f"{key} {kind}, {schema}")
 
 
-def embed_not_done(rows: DataFrame, index: DataFrame, key: str, text: str, model) -> DataFrame:
+def embed_pending(rows: DataFrame, index: DataFrame, key: str, text: str, model) -> DataFrame:
     """The index with the rows it lacks embedded and added; rows without key or text are left out."""
     todo = not_done(rows.filter(F.col(key).isNotNull() & (F.coalesce(F.trim(text), F.lit("")) != "")), index, key)
     return index.unionByName(embed(todo, text, model).select(*index.columns))

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from casewright.operators.temporal import parse_date
 
-from .schemas import STAGE, VERSION_ENTRY
+from . import schemas
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +61,7 @@ def missing_ids(spark: SparkSession, first: int, last: int, existing: DataFrame,
 
 def version_index(entries: DataFrame, column: str) -> DataFrame:
     """Rows of a JSON map number -> version entry, keyed by day and number (numbers recur across years)."""
-    rows = entries.select(F.explode(F.from_json(column, T.MapType(T.StringType(), VERSION_ENTRY))).alias("_k", "v"))
+    rows = entries.select(F.explode(F.from_json(column, T.MapType(T.StringType(), schemas.VERSION_ENTRY))).alias("_k", "v"))
     v = rows.select("v.*")
     return v.withColumn("pno_norm", F.regexp_replace("pno", "^0+(?=.)", "")).withColumn("pdate", parse_date(F.col("pdate"))).withColumn("eff_date", parse_date(F.col("eff_date"))).dropDuplicates(["pdate", "pno_norm", "version_key"])
 
@@ -105,7 +105,7 @@ def not_done(inputs: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 def write_stage(df: DataFrame, path: str) -> None:
     """Appends stage rows, laid out by stage so that reading one prunes the others."""
-    df.select(*STAGE.fieldNames()).write.mode("append").partitionBy("stage").parquet(path)
+    df.select(*schemas.STAGE.fieldNames()).write.mode("append").partitionBy("stage").parquet(path)
 
 
 def load_if_newer(spark: SparkSession, build, path: str, version: str) -> bool:
