@@ -104,10 +104,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix starts on it: never, once or twice."""
     m = mix(docs.select("doc_id", "source", "text")).filter("take > start")
-    copies = m.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.expr("1 + int(take > start + source_size)").alias("copies"))
-    copies = copies.groupBy("id", "src").agg(F.max("copies").alias("copies"))
-    d = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id"]) & docs["source"].eqNullSafe(copies["src"])).drop("id", "src")
-    return d.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    copies = m.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.expr("1 + int(take > start + source_size)").alias("__n"))
+    copies = copies.groupBy("__id", "__src").agg(F.max("__n").alias("__n"))
+    d = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src")))
+    return d.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 ORACLE = r"""

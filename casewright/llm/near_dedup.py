@@ -72,7 +72,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             ids = batch.column(0)
             for lo, data, offsets in text_slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, width)
-                k = np.array([(mix(s ^ _K[60]).sum(dtype=np.uint64), mix(s ^ _K[61]).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                k = np.array([(mix(s ^ _K[60]).sum(dtype=np.uint64), mix(s ^ _K[61]).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
                 bands = [band_keys(s) if len(s) else s for s in sets]
                 yield pa.RecordBatch.from_arrays([ids[lo : lo + len(sets)], pa.array([len(s) for s in sets], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), _longs(bands)], ["doc_id", "n", "k1", "k2", "bands"])
 
@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame
     sig = stage(signatures(docs, width), "near-signatures")
     some = sig.filter("n > 0 and doc_id is not null")
     many = stage(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1").drop("c"), "near-equal")
-    nodes = stage(sig.join(many, ["k1", "k2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), F.when(F.col("n") > 0, F.col("bands")).alias("bands")), "near-nodes")
+    nodes = stage(sig.join(many, ["k1", "k2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep"), F.when(F.col("n") > 0, F.col("bands")).alias("bands")), "near-nodes")
     drop(sig, many)
     keys = nodes.filter("doc_id = rep and bands is not null").select("doc_id", "n", F.explode("bands").alias("key"))
     shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "near-shared")

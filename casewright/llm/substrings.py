@@ -110,8 +110,9 @@ def _digest(text: F.Column) -> F.Column:
     return F.xxhash64("doc_id", text)
 
 
-def mark(docs: DataFrame, length: int = 400, gram: int = 128, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mark(docs: DataFrame, length: int = 400, gram: int | None = None, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """Two staged tables: the documents with what their anchors show, and the runs that open contexts repeat (see remove)."""
+    gram = gram or max(1, length * 8 // 25)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), text.alias("text")).withColumn("u", _digest(F.col("text")))
 
