@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,13 @@ def dedup(docs: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     digest = F.unhex(F.sha2(body, 256))
-    digests = stage(docs.select("doc_id", digest.alias("digest"), F.input_file_name().alias("locator")), "dedup-digests")
+    docs = docs.select("doc_id", "text")
+    try:
+        located = docs.withColumn("locator", F.input_file_name())
+    except AnalysisException:  # rows of several tables have no one file until they are written
+        docs = stage(docs, "dedup-docs")
+        located = docs.withColumn("locator", F.input_file_name())
+    digests = stage(located.select("doc_id", digest.alias("digest"), "locator"), "dedup-digests")
     groups = stream_groups(digests, digests.staged_path, files_per_trigger)
     many = groups.filter("group_size > 1").select(F.col("digest").alias("d"))
     hits = docs.select(digest.alias("digest"), body.alias("body")).join(many, F.col("digest") == F.col("d"), "left_semi")

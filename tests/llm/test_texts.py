@@ -1,0 +1,236 @@
+"""Toxicity, licence scans, personal data and URL filters against plain versions."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from casewright.llm import licences, pii, toxicity, url_graph
+
+SCHEMA = "doc_id long, text string, uid long, kind string, found string, line string, h long, lang string"
+
+
+def frame(spark, texts, ids=None):
+    """Documents with further columns whose names the operators use themselves."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, 1, "k", "f", "l", 5, "en") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+
+
+# ---- personal data
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes_luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + k % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def brute_base(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and passes_luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), rank, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def pii_texts():
+    rng = random.Random(3)
+    texts = [
+        "a@b.com_c@d.org x@y z@-.-", "a@b.c.@d.e", "me.%+-@host-1.example.org, 1.2.3.4.5.6.7.8 and 256.1.1.1 then 001.2.3.255",
+        "4111 1111 1111 1111 4111111111111111x 4111-1111-1111-1111-", "+49 (30) 123-4567-89 +1 23 +12345678901234567", "é😀 a@b.de 😀 192.168.0.1",
+        "00000000000000 0000000000000 " + "0" * 19 + " " + "0" * 20, None, "", " ", "x" * 5_000 + " a@b.de " + "9" * 4_000, "a@b.com", "a@b.com", "+1(((" * 1000, "1." * 1500,
+    ]
+    for alphabet in ("ab1.@-_ ", "0123 -.", "+12 ().-3", "4 1-", "a.@é😀1"):
+        texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(30)]
+    for _ in range(40):
+        d = [rng.randrange(10) for _ in range(rng.randrange(13, 20))]
+        texts.append("no " + "".join(str(x) + rng.choice(["", "", " ", "-"]) for x in d) + rng.choice(["0", "", " 7"]))
+    return texts
+
+
+def test_base_spans_equal_plain_patterns(spark):
+    texts = pii_texts()
+    got = {r.doc_id: [(f.kind, f.start, f.stop) for f in r.found if f.base] for r in pii.spans(frame(spark, texts)).collect()}
+    assert got == {i: brute_base(t) for i, t in enumerate(texts)}
+
+
+def test_pii_digests(spark, sf_dir):
+    got = pii.op9_pii(spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert len(got) == len(docs)
+    for r in got:
+        base = brute_base(docs[r.doc_id])
+        line = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in base) for k in PATTERNS]
+        every = r.spans.split(",") if r.spans else []
+        assert set(line) <= set(every)
+        assert [int(s.split(":")[1]) for s in every] == sorted(int(s.split(":")[1]) for s in every)
+
+
+def test_redaction_and_empty_tables(spark):
+    got = {r.doc_id: r.text for r in pii.redact(frame(spark, ["to a@b.de, 10.0.0.1!", "none", None, ""])).collect()}
+    assert got == {0: "to [email], [ip]!", 1: "none", 2: "", 3: ""}
+    assert pii.spans(frame(spark, [])).collect() == []
+
+
+def test_luhn_column(spark):
+    digits = ["4111111111111111", "4111111111111112", "0", "79927398713"]
+    got = [r.l for r in spark.createDataFrame([(d,) for d in digits], "d string").select(pii.luhn(F.col("d")).alias("l")).collect()]
+    assert got == [passes_luhn(d) for d in digits]
+
+
+# ---- toxicity
+
+
+def test_composed_transducers():
+    lex = toxicity.Lexicon({"idiot": 2.0}, {})
+    f = lambda t: toxicity.features(t, lex)[0]
+    assert f("the idiot ran") == 2.0
+    assert f("you idiot") == 2.0 * toxicity.AIMED_X
+    assert f("not idiot") == 2.0 * toxicity.DENIED_X
+    assert f("the said idiot") == 2.0 * toxicity.TOLD_X
+    assert f("you. Idiot") == 2.0
+    assert f("you kill") == toxicity.MENACE_W * toxicity.AIMED_X
+    assert f("kill") == f("") == f(None) == f(" . ! ") == 0.0
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Scores of rows whose labels were not learnt from, against those labels."""
+    d = "/root/testdata/sf0.1"
+    got = toxicity.op5_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    ranked = sorted((r.score, r.toxic) for r in got)
+    pos = sum(t for _, t in ranked)
+    neg, above, seen, k = len(ranked) - pos, 0.0, 0, 0
+    while k < len(ranked):
+        tied = [t for s, t in ranked[k:] if s == ranked[k][0]]
+        above += sum(tied) * seen + sum(tied) * (len(tied) - sum(tied)) / 2
+        seen += len(tied) - sum(tied)
+        k += len(tied)
+    hit = sum(r.predicted and r.toxic for r in got)
+    auc, precision, recall = above / pos / neg, hit / max(1, sum(r.predicted for r in got)), hit / pos
+    print(f"held out: {len(got)} rows, {pos} toxic, AUC {auc:.3f}, precision {precision:.3f}, recall {recall:.3f}")
+    assert auc > 0.85 and precision > 0.85 and recall > 0.6
+
+
+def test_scores_of_odd_rows(spark):
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (99, 1)], "doc_id long, toxic int")
+    texts = ["you idiot idiot moron", "fine words", None, "", "you idiot idiot moron", "word " * 200_000]
+    got = toxicity.score(frame(spark, texts, [0, 1, 2, 3, None, 5]), labels).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) and r.held_out is not None for r in got)
+    by = {r.doc_id: r.score for r in got}
+    assert by[0] == by[None] > by[1] == by[2] == by[3] == by[5]
+    assert toxicity.score(frame(spark, []), labels).collect() == []
+    assert toxicity.score(frame(spark, ["you idiot idiot moron"]), labels.limit(0)).count() == 1
+
+
+# ---- licences
+
+
+def test_sentences_and_ordered_rules(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"
+    binary = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"
+    texts = [f"Some words.\nMIT License\n{mit}.\nMore.", f"{bsd}:\n{source}.\n{binary}.\n", f"{binary}.\n{source}.\n", "Licensed under the Apache License, Version 2.0.", "nothing", None, "", "licens " * 60_000]
+    got = {r.doc_id: (r.n_sentences, r.sentence_ids, r.licences) for r in licences.scan(frame(spark, texts)).collect()}
+    assert got[0] == (2, "mit-title,mit-grant", "MIT")
+    assert got[1] == (3, "bsd-redistribute,bsd-source,bsd-binary", "BSD-2-Clause")
+    assert got[2] == (2, "bsd-binary,bsd-source", "")
+    assert got[3] == (1, "apache2-notice", "Apache-2.0")
+    assert got[4] == got[5] == got[6] == got[7] == (0, "", "")
+    assert licences.scan(frame(spark, [])).collect() == []
+
+
+# ---- url filters
+
+
+def plain_url(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+
+def plain_rule(host, path):
+    best = None
+    for text, verdict in url_graph.RULES:
+        h, p = text.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(text) > len(best[0])):
+            best = (text, verdict)
+    return best or (None, None)
+
+
+def plain_rank(seeds, links, rounds=20):
+    total = sum(seeds.values())
+    seeds = {h: m / total for h, m in seeds.items()}
+    rank = dict(seeds)
+    for _ in range(rounds):
+        new = {}
+        for (a, b), share in links.items():
+            if a in rank:
+                new[b] = new.get(b, 0.0) + 0.85 * rank[a] * share
+        left = 1 - sum(new.values())
+        for h, m in seeds.items():
+            new[h] = new.get(h, 0.0) + left * m
+        rank = new
+    return rank
+
+
+def url_pages():
+    link = lambda *to: " ".join(f'<a class=x href="{t}">t</a>' for t in to)
+    pages = [
+        ("https://a.org/x", link("http://good.net/1", "http://good.net/2", "relative", "mailto:x@y")), ("https://EXAMPLE.org/es/1", None), ("http://example.org/en/12", ""), ("http://www.shop.com/de/1", link("http://farm.net/")),
+        ("http://farm.net/1", link("http://www.shop.com/de/1", "http://spam.net")), ("http://spam.net/a", link("http://farm.net/", "http://www.shop.com/")), ("http://good.net/b?x#y", link("http://calm.net")), ("http://calm.net", "<html>"),
+        ("http://lone.net#frag", None), (None, link("http://spam.net")), ("no scheme", None), ("://", None), ("http:///p", None), ("http://shop.com/fr/x", None), ("http://notorg/", None), ("http://x.example.org/en/1", None), ("http://good.net/b?x#y", None),
+        ("http://ÉX.org/a", None),
+    ]
+    return [(i, u, h, "host", "rule", 1) for i, (u, h) in enumerate(pages)]
+
+
+def test_url_verdicts_equal_plain_propagation(spark):
+    rows = url_pages()
+    got = {r.page_id: r for r in url_graph.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string, n int")).collect()}
+    assert len(got) == len(rows)
+    counts = {}
+    for _, u, h, *_ in rows:
+        for to in re.findall(r'href="([a-z]+://[^"]+)"', h or ""):
+            a, b = plain_url(u)[0], plain_url(to)[0]
+            if a and b and a != b:
+                counts[a, b] = counts.get((a, b), 0) + 1
+    out = {(a, b): n / sum(m for (x, _), m in counts.items() if x == a) for (a, b), n in counts.items()}
+    back = {(b, a): n / sum(m for (_, y), m in counts.items() if y == b) for (a, b), n in counts.items()}
+    seeds = {"allow": {}, "block": {}}
+    for _, u, *_ in rows:
+        host, path = plain_url(u)
+        if host and (v := plain_rule(host, path)[1]):
+            seeds[v][host] = seeds[v].get(host, 0) + 1
+    trust, distrust = plain_rank(seeds["allow"], out), plain_rank(seeds["block"], back)
+    for i, u, *_ in rows:
+        host, path = plain_url(u)
+        rule, verdict = plain_rule(host, path)
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.trust == pytest.approx(trust.get(host, 0.0), abs=1e-5) and r.distrust == pytest.approx(distrust.get(host, 0.0), abs=1e-5)
+        assert r.verdict == (verdict or ("block" if distrust.get(host, 0.0) > trust.get(host, 0.0) else "allow"))
+    assert got[4].verdict == got[5].verdict == "block" and got[6].verdict == got[7].verdict == got[8].verdict == "allow"
+
+
+def test_no_pages(spark):
+    assert url_graph.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
