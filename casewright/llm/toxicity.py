@@ -150,18 +150,24 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(each, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, sample: int = 20_000) -> tuple[dict, dict, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, texts: int = 200_000, sample: int = 20_000) -> tuple[dict, dict, np.ndarray]:
     """Word weights, stem weights, logistic weights.
 
-    Only labelled rows outside the held-out third count, one of each set of equal texts. Half of them give the lexicon:
-    words and beginnings of words with a log-odds of toxicity whose lower bound is high, at most ``words`` of them, from
-    counts over all these texts. The other half gives the calibration: at most ``sample`` texts, the first by a hash.
+    Only labelled rows outside the held-out third count, one of each set of equal texts; of more than ``texts`` of them
+    about that many, by a hash. So their ids are few enough to be broadcast, and no text leaves its task. Half of them
+    give the lexicon: words and beginnings of words with a log-odds of toxicity whose lower bound is high, at most
+    ``words`` of them. The other half gives the calibration: at most ``sample`` texts, the first by a hash.
     """
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     good = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    single = docs.filter("doc_id is not null").groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.min("doc_id").alias("doc_id"))
+    single = docs.filter("doc_id is not null").groupBy(hashed.alias("h")).agg(F.min("doc_id").alias("doc_id"))
     ids = stage(good.join(single, "doc_id").select("doc_id", "toxic", "h"), "tox-ids")
-    rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
-    rows = stage(rows.select("text", "toxic", "h"), "tox-rows")
+    n = ids.count()
+    if n > texts:
+        ids = ids.filter(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < 1_000_000 * texts // n)
+    rows = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", hashed.alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    # broadcast: about ``texts`` rows of three numbers at most, whatever the input
+    rows = stage(rows.join(F.broadcast(ids), ["doc_id", "h"]).select("text", "toxic", "h"), "tox-rows")
     total = {bool(r["toxic"]): r["n"] for r in rows.filter("h % 2 = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     seeds = {w: 4.0 for w in INSULTS}
     if not total.get(True) or not total.get(False):
@@ -174,22 +180,30 @@ def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, sample: int =
     found = found.orderBy(F.col("low").desc(), "feature").limit(words).collect()
     lexicon = {k: {r["feature"][2:]: min(6.0, r["odds"]) for r in found if r["feature"].startswith(k)} for k in ("w:", "s:")}
     word, stem = seeds | lexicon["w:"], lexicon["s:"]
-    some = rows.filter("h % 2 <> 0").orderBy("h", "toxic").limit(sample)
+    last = ids.filter("h % 2 <> 0").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = rows.filter("h % 2 <> 0").filter(F.col("h") <= F.lit(last))
     model = docs.sparkSession.sparkContext.broadcast((word, stem))
 
     def each(batches):
         lex = Lexicon(*model.value)
         for batch in batches:
             x = [features(t.as_py(), lex) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "toxic", "h"])
 
-    got = some.select("text", F.col("toxic").cast("int")).mapInArrow(each, "x array<double>, toxic int").collect()
+    got = some.select("text", F.col("toxic").cast("int"), "h").mapInArrow(each, "x array<double>, toxic int, h long").dropDuplicates(["h"]).collect()
+    got.sort(key=lambda r: r["h"])
     y = np.array([r["toxic"] for r in got], float)
     if len(set(y.tolist())) < 2:
         return word, stem, DEFAULT
     return word, stem, fit_logistic(np.array([r["x"] for r in got]), y)
 
 
+def probabilities(texts: pa.Array, lexicon: Lexicon, weights: np.ndarray) -> np.ndarray:
+    """The score of each text."""
+    x = np.array([features(t.as_py(), lexicon) for t in texts]).reshape(-1, FEATURES)
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
     """Every document: doc_id, held_out, score, predicted.
 
@@ -204,8 +218,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds)
         word, stem, w = model.value
         lex = Lexicon(word, stem)
         for batch in batches:
-            x = np.array([features(t.as_py(), lex) for t in batch.column(2)]).reshape(-1, FEATURES)
-            p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+            p = probabilities(batch.column(2), lex, w)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -213,6 +226,19 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds)
     return rows.mapInArrow(each, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
+    """The rows whose score (see ``score``) is below the threshold, with all their columns; nothing is shuffled for it."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, **bounds))
+
+    def each(batches):
+        word, stem, w = model.value
+        lex = Lexicon(word, stem)
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column(batch.schema.get_field_index("text")), lex, w) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns for the whole ``documents`` table."""
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -220,5 +246,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
-    bad = score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["id"], "left_anti")
+    return clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
