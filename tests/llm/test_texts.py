@@ -138,6 +138,30 @@ def test_scores_of_odd_rows(spark):
     assert toxicity.score(frame(spark, ["you idiot idiot moron"]), labels.limit(0)).count() == 1
 
 
+def test_bounded_learning_and_clean_rows(spark):
+    """With fewer texts than labels some are learnt from, the same ones in each run; clean rows are those scored below the threshold."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    bounds = {"texts": 300, "sample": 100}
+    word, stem, weights = toxicity.learn(docs, labels, **bounds)
+    again = toxicity.learn(docs, labels, **bounds)
+    assert (word, stem) == again[:2] and (weights == again[2]).all() and len(weights) == toxicity.FEATURES + 1
+    low = toxicity.score(docs, labels, **bounds).filter("score < 0.7").select("doc_id").collect()
+    kept = toxicity.clean(docs, labels, **bounds)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in low)
+
+
+def test_clean_keeps_odd_rows_and_their_columns(spark):
+    """Null ids are judged like others, repeated rows each, null and empty texts stay, and clashing names come through."""
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    rows = [(None, "you idiot idiot moron. you moron idiot", 0.1), (1, "fine words", 0.9), (1, "fine words", 0.9), (2, None, 0.5), (3, "", None), (None, "fine", 0.2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    got = toxicity.clean(docs, labels)
+    assert got.schema == docs.schema
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows[1:]))
+    assert toxicity.clean(docs.limit(0), labels).collect() == []
+
+
 # ---- licences
 
 
