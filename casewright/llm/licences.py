@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+import re
 
-from .common import stage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Sentences of well-known licences and notices, in normalised form (see normal()), each with its identifier.
 SENTENCES = {
@@ -65,41 +65,58 @@ RULES = (
 )
 #: A rule gives way to those above it whose identifiers begin with its own.
 YIELDS = {name: [other for other, ids in RULES[:k] if other != name and ids[: len(seq)] == seq] for k, (name, seq) in enumerate(RULES)}
-#: Where sentences end: at a line break, or at . ; : and white space. No word of a known sentence holds one of these.
+#: Where the SQL's pieces end: at a line break, or at . ; : and white space.
 END = r"[.;:]*[ \t\r]*\n\s*|[.;:]+\s+"
-#: What a text must hold to hold a known sentence.
-MARK = r"(?i)licens|permission|warranty|redistribut|apache|copyright|reserved|public domain|copy of"
+#: What a text must hold to hold a known sentence, however it is wrapped.
+MARK = r"(?i)licens|permission|warranty|redistribut|apache|copyright|reserved|unencumbered"
+#: From a text in lower case to its words. H is where every sentence ends (a blank line, a line of marks alone, a list mark), S
+#: where one may end (a line break, or . ; : and white space); neither has . + / - beside it. All run in one pass each.
+STEPS = (
+    (r"(?m)^[^a-z0-9\n]{0,8}\(?(?:[0-9]{1,2}|[a-z])\)[ \t]", " H "),
+    (r"(?<![^a-z0-9\n])[^a-z0-9\n]*+\n[^a-z0-9\n]*+\n[^a-z0-9]*+", " H "),
+    (r"[.;:]\s|\n", " S "),
+    (r"[^a-z0-9.+/HS-]+", " "),
+)
+ENDS = ((r"(?<![ .+/S-])[ .+/S-]*+H[ .+/HS-]*+", " H "), (r"(?<![ .+/-])[ .+/-]*+S[ .+/S-]*+", " S "))
+#: The known sentences as they stand between ends, where a full stop before a blank is an end: {sentence: identifier}.
+KNOWN = {s.replace(". ", " "): i for i, all_ in SENTENCES.items() for s in all_}
 
 
-def normal(sentence) -> F.Column:
-    """Lower case; runs of anything but a-z, 0-9 and . + / - become a blank; no . + / - or blank at either end."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+/-]+", " "), r"^[ .+/-]+|[ .+/-]+$", "")
+def pattern() -> str:
+    """Any known sentence, from one end to another, over any number of S between its words; of several the longest."""
+    one = ["(?: S)? ".join(re.escape(w) for w in s.split(" ")) for s in sorted(KNOWN, key=lambda s: (-len(s), s))]
+    return f"(?<=[HS] )(?:{'|'.join(one)})(?= [HS])"
+
+
+def ends(text) -> F.Column:
+    """The words of a text and the ends between them (see STEPS), an H at either end."""
+    out = F.lower(text)
+    for find, put in STEPS:
+        out = F.regexp_replace(out, find, put)
+    out = F.concat(F.lit("H"), out, F.lit("H"))
+    for find, put in ENDS:
+        out = F.regexp_replace(out, find, put)
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Every document: doc_id, n_sentences (known ones), sentence_ids (in order), licences (in the rules' order).
 
-    Null and empty texts, and texts without known sentences, have 0 and empty strings. Rows are scanned each, whatever
-    they repeat. Text is read whole; only known sentences move between tasks, so long texts cost no memory there.
+    A sentence may be wrapped over lines and hold . ; or : inside; a blank line or a list mark ends it. Null and empty
+    texts, and texts without known sentences, have 0 and empty strings. Rows are scanned each, whatever they repeat. Text
+    is read whole, and nothing moves between tasks.
     """
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(s, i) for i, all_ in SENTENCES.items() for s in all_], "sentence string, id string")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text.alias("text"))
-    found = F.when(F.col("text").rlike(MARK), F.filter(F.transform(F.split("text", END), lambda s, i: F.struct(i.alias("i"), s.alias("s"))), lambda x: x["s"].rlike(MARK)))
-    marked = stage(rows.select("uid", "doc_id", found.alias("found")), "licence-marked")
-    lines = marked.filter(F.size("found") > 0).select("uid", F.inline("found")).select("uid", "i", normal(F.col("s")).alias("sentence"))
-    # the dictionary is the fixed table above: a few dozen rows, whatever the input
-    hits = lines.join(F.broadcast(known), "sentence").groupBy("uid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "id"))), lambda x: x["id"]).alias("ids"))
-    line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    hits = hits.withColumn("line", line)
+    # the dictionary is the fixed table above: a few dozen entries, whatever the input
+    known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
+    found = F.regexp_extract_all(ends(F.col("text")), F.lit(pattern()), F.lit(0))
+    ids = F.transform(found, lambda m: F.element_at(known, F.regexp_replace(m, " S ", " ")))
+    hits = docs.select("doc_id", F.coalesce(F.when(F.col("text").rlike(MARK), ids), F.array().cast("array<string>")).alias("ids"))
+    hits = hits.withColumn("line", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     fits = {}
     for name, ids in RULES:
         fits[name] = fits.get(name, F.lit(False)) | F.col("line").contains("," + ",".join(ids) + ",")
     given = [F.when(fits[n] & ~_any(fits, YIELDS[n]), n) for n in fits]
-    hits = hits.select("uid", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.concat_ws(",", *given).alias("licences"))
-    return marked.select("uid", "doc_id").join(hits, "uid", "left").select(
-        "doc_id", F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("sentence_ids", F.lit("")).alias("sentence_ids"), F.coalesce("licences", F.lit("")).alias("licences"))
+    return hits.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.concat_ws(",", *given).alias("licences"))
 
 
 def _any(fits: dict, names: list[str]) -> F.Column:

@@ -180,6 +180,69 @@ def test_sentences_and_ordered_rules(spark):
     assert licences.scan(frame(spark, [])).collect() == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{}1{} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{}2{} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}3{} Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL3 = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+MPL2 = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_originals(spark):
+    unlicense, split = "This is free and unencumbered software released into the public\ndomain.", "licensed under the\n\nMIT License"
+    texts = [MIT, BSD3.format(*["", "."] * 3), BSD3.format(*["(", ")"] * 3), GPL3, MPL2, APACHE, ISC, unlicense, split, MIT.replace("\n", "\r\n"), "Apache License\nVersion 2.0, January 2004", "not licensed under\nthe MIT license"]
+    texts += ["x" + c * 150_000 + " license" for c in (".", " ", "\n", "é", "- ")]
+    got = {r.doc_id: (r.sentence_ids, r.licences) for r in licences.scan(frame(spark, texts)).collect()}
+    bsd = ("bsd-redistribute,bsd-source,bsd-binary,bsd-endorse", "BSD-3-Clause")
+    mit = ("mit-title,mit-grant,mit-keep,as-is", "MIT")
+    want = [mit, bsd, bsd, ("gpl-free,gpl-hope", "GPL-3.0-or-later"), ("mpl2-notice", "MPL-2.0"), ("apache2-notice,apache2-comply,apache2-copy", "Apache-2.0"), ("isc-grant", "ISC"), ("unlicense-notice", "Unlicense")]
+    want += [("mit-title", ""), mit, ("apache2-title", ""), ("mit-title", ""), *[("", "")] * 5]
+    assert [got[i] for i in range(len(texts))] == want
+
+
 # ---- url filters
 
 
