@@ -46,6 +46,11 @@ def within(mark: int, reach: int, bit: int) -> Transducer:
     return Transducer(steps)
 
 
+def since(mark: int, bit: int) -> Transducer:
+    """Outputs bit on every symbol after ``mark`` in the same clause."""
+    return Transducer([[(1, 0) if s == mark else (0, 0) if s == END else (seen, bit if seen else 0) for s in range(7)] for seen in (0, 1)])
+
+
 def on(mark: int, bit: int) -> Transducer:
     """Outputs bit on the mark itself."""
     return Transducer([[(0, bit if s == mark else 0) for s in range(7)]])
@@ -53,6 +58,8 @@ def on(mark: int, bit: int) -> Transducer:
 
 HIT, MENACE, AIMED, DENIED, TOLD = 1, 2, 4, 8, 16
 GRAMMAR = on(INSULT, HIT) * on(THREAT, MENACE) * within(TARGET, 4, AIMED) * within(NEGATION, 2, DENIED) * within(REPORT, 5, TOLD)
+#: Read from the right: who is aimed at often follows ("kill you").
+FROM_RIGHT = since(TARGET, AIMED)
 #: What a match counts, by what holds around it.
 AIMED_X, DENIED_X, TOLD_X, MENACE_W = 1.25, 0.5, 0.6, 1.0
 FEATURES = 6
@@ -81,12 +88,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     symbols = list(map(lexicon.__getitem__, tokens))
     if not any(s is not None and s[0] <= THREAT for s in symbols):
         return [0.0] * FEATURES
+    later, state, step = [], 0, FROM_RIGHT.step
+    for s in reversed(symbols):
+        state, out = step[state][s[0] if s else OTHER]
+        later.append(out)
     state, clause, scores, soft, words = 0, 0.0, [], 0.0, 0
     step = GRAMMAR.step
-    for s in symbols:
+    for s, follows in zip(symbols, reversed(later), strict=True):
         kind, weight = s or (OTHER, 0.0)
         words += kind != END
         state, out = step[state][kind]
+        out |= follows
         if out & (HIT | MENACE):
             value = weight * (AIMED_X if out & AIMED else 1) * (DENIED_X if out & DENIED else 1) * (TOLD_X if out & TOLD else 1)
             soft += value if out & (DENIED | TOLD) else 0
@@ -176,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, texts: int =
     up, down = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(up / (pos + 1)) - F.log(down / (neg + 1))
     low = odds - F.sqrt(1 / up + 1 / down)
-    found = _counts(rows.filter("h % 2 = 0")).filter(F.col("pos") >= max(2, round(0.004 * pos))).select("feature", odds.alias("odds"), low.alias("low")).filter("low > 1.8")
+    found = _counts(rows.filter("h % 2 = 0")).select("feature", odds.alias("odds"), low.alias("low")).filter("low > 1.8")
     found = found.orderBy(F.col("low").desc(), "feature").limit(words).collect()
     lexicon = {k: {r["feature"][2:]: min(6.0, r["odds"]) for r in found if r["feature"].startswith(k)} for k in ("w:", "s:")}
     word, stem = seeds | lexicon["w:"], lexicon["s:"]

@@ -109,6 +109,14 @@ def test_composed_transducers():
     assert f("kill") == f("") == f(None) == f(" . ! ") == 0.0
 
 
+@pytest.mark.parametrize("text", ["I will kill you", "hurt him", "destroy them all", "ich werde dich töten", "wir töten dich", "je vais tuer toi", "frapper vous", "voy a matar a usted", "kill every single last one of you"])
+def test_targets_after_a_threat(text):
+    f = lambda t: toxicity.features(t, toxicity.Lexicon({"idiot": 2.0}, {}))[0]
+    assert f(text) == toxicity.MENACE_W * toxicity.AIMED_X
+    assert f("idiot, you") == f("you idiot") == 2.0 * toxicity.AIMED_X
+    assert f("to kill. You") == f("kill the process") == 0.0
+
+
 def test_held_out_documents_are_told_apart(spark):
     """Scores of rows whose labels were not learnt from, against those labels."""
     d = "/root/testdata/sf0.1"
@@ -162,6 +170,14 @@ def test_clean_keeps_odd_rows_and_their_columns(spark):
     assert toxicity.clean(docs.limit(0), labels).collect() == []
 
 
+def test_rare_words_enter_by_their_bound(spark):
+    """A word of 15 in 6,000 toxic texts and of no other enters the lexicon; those that stand in all texts do not."""
+    rows = [(i, f"text number{i} " + ("zzrare " if i % 8 == 0 and i < 120 else "") + "common", int(i % 8 == 0)) for i in range(48_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    word, _, _ = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "zzrare" in word and "common" not in word and "text" not in word
+
+
 # ---- licences
 
 
