@@ -80,21 +80,27 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def score(found: DataFrame, most: int = 20_000, trees: int = 8, precision: float = 0.9) -> DataFrame:
     """Candidates with the kept ones of the model: column added.
 
-    The trees learn the validators' verdicts (weak labels) from at most ``most`` candidates, the first by a hash; half of
-    those, by another bit of the hash, set for each kind the lowest threshold whose precision there reaches ``precision``.
+    The trees learn the validators' verdicts (weak labels) from distinct rows of features and label: of each kind
+    and label an equal share of ``most`` at the most, the first by a hash, so that neither common kinds nor copies crowd
+    out the others. For each kind, all its candidates set the lowest threshold whose precision reaches ``precision``. Where all labels are
+    alike, they are the verdicts.
     """
-    h = F.xxhash64("kind", "start", "stop", "features")
-    sample = found.withColumn("h", h).orderBy("h", "uid").limit(most).withColumn("label", F.col("weak").cast("double")).withColumn("x", array_to_vector("features"))
-    sample = stage(sample.select("kind", "label", "features", (F.pmod("h", F.lit(2)) == 0).alias("fit")), "pii-sample").withColumn("x", array_to_vector("features"))
-    if sample.filter("fit").select("label").distinct().count() < 2:
-        return found.withColumn("added", F.lit(False))
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, seed=7, stepSize=0.3).fit(sample.filter("fit"))
+    h = F.xxhash64("kind", "features", "weak")
+    first = F.row_number().over(Window.partitionBy("kind", "weak").orderBy("h", "features"))
+    sample = found.select("kind", "weak", "features").distinct().withColumn("h", h).withColumn("at", first).filter(F.col("at") <= max(1, most // (2 * len(KINDS))))
+    sample = sample.select("kind", F.col("weak").cast("double").alias("label"), "features")
+    sample = stage(sample, "pii-sample").withColumn("x", array_to_vector("features"))
+    if found.select("weak").distinct().count() < 2:
+        return found.withColumn("added", ~F.col("base") & F.col("weak"))
+    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=3, seed=7, stepSize=0.3).fit(sample)
     p = F.round(vector_to_array("probability")[1], 2)
-    held = model.transform(sample.filter("not fit")).groupBy("kind", p.alias("p")).agg(F.sum("label").alias("yes"), F.count("*").alias("n"))
+    scored = model.transform(found.withColumn("x", array_to_vector("features"))).withColumn("p", p).drop("x", "rawPrediction", "prediction", "probability")
+    scored = stage(scored.drop("features"), "pii-scored")
+    held = scored.groupBy("kind", "p").agg(F.sum(F.col("weak").cast("double")).alias("yes"), F.count("*").alias("n"))
     above = Window.partitionBy("kind").orderBy(F.col("p").desc())
     held = held.withColumn("rate", F.sum("yes").over(above) / F.sum("n").over(above)).filter(F.col("rate") >= precision)
-    limits = stage(held.groupBy("kind").agg(F.min("p").alias("limit")), "pii-limits")
-    scored = model.transform(found.withColumn("x", array_to_vector("features"))).withColumn("p", p).drop("x", "rawPrediction", "prediction", "probability")
+    # one row for each kind, whatever the input
+    limits = F.broadcast(stage(held.groupBy("kind").agg(F.min("p").alias("limit")), "pii-limits"))
     return scored.join(limits, "kind", "left").withColumn("added", F.coalesce(~F.col("base") & (F.col("p") >= F.col("limit")), F.lit(False)))
 
 

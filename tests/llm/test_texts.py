@@ -82,6 +82,18 @@ def test_pii_digests(spark, sf_dir):
         assert [int(s.split(":")[1]) for s in every] == sorted(int(s.split(":")[1]) for s in every)
 
 
+def test_rare_kinds_keep_their_spans(spark):
+    """A sample far smaller than the table, and copies that would fill it; and labels that are all alike."""
+    rare = ["iban DE44 5001 0517 5407 3249 31 so", "me (at) host (dot) org so", 'password = "aB3dE5gH7jK9mN" so']
+    many = [f"write to name{i}@host{i % 7}.org or 1.2.3.{i} or 1.2.3.{i + 300}" for i in range(200)] + ["call 10.0.0.1 a@b.de"] * 400
+    want = [("iban", 5, 32), ("address", 0, 22), ("secret", 0, 26)]
+    got = {r.doc_id: r.found for r in pii.spans(frame(spark, many + rare), most=40).collect()}
+    for i, w in enumerate(want):
+        assert w in [(f.kind, f.start, f.stop) for f in got[600 + i]]
+    alone = pii.spans(frame(spark, rare[:1])).first().found
+    assert ("iban", 5, 32) in [(f.kind, f.start, f.stop) for f in alone]
+
+
 def test_redaction_and_empty_tables(spark):
     got = {r.doc_id: r.text for r in pii.redact(frame(spark, ["to a@b.de, 10.0.0.1!", "none", None, ""])).collect()}
     assert got == {0: "to [email], [ip]!", 1: "none", 2: "", 3: ""}
