@@ -43,6 +43,13 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """df with __file and __row, which name each row and are the same in every plan; staged unless it is a table of files."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = stage(df, name)
+    return df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+
+
 def n_words(text) -> F.Column:
     """Words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import keyed, shared_dir, stage
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -55,23 +55,23 @@ def stream_groups(digests: DataFrame, path: str, files_per_trigger: int | None =
     return stage(found.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator")), "dedup-groups")
 
 
-def dedup(docs: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, files_per_trigger: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document with its group of equal texts; the row with the largest doc_id of a group stays.
 
     A null text counts as empty, so null and empty texts are one group. Rows that repeat a doc_id with the same text are
     the same document and share its verdict; a null doc_id stays only in a group that has no other. Documents in groups
     of two or more are compared in full bytes: if one digest stood for two texts, the job fails rather than drop one.
-    Returns doc_id, keep_id, group_size, kept, text_sha256, locator (the file of the row that stays).
+    Returns doc_id, keep_id, group_size, kept, text_sha256, locator (the file of the row that stays), and the columns ``carry``.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     digest = F.unhex(F.sha2(body, 256))
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     try:
         located = docs.withColumn("locator", F.input_file_name())
     except AnalysisException:  # rows of several tables have no one file until they are written
         docs = stage(docs, "dedup-docs")
         located = docs.withColumn("locator", F.input_file_name())
-    digests = stage(located.select("doc_id", digest.alias("digest"), "locator"), "dedup-digests")
+    digests = stage(located.select("doc_id", digest.alias("digest"), "locator", *carry), "dedup-digests")
     groups = stream_groups(digests, digests.staged_path, files_per_trigger)
     many = groups.filter("group_size > 1").select(F.col("digest").alias("d"))
     hits = docs.select(digest.alias("digest"), body.alias("body")).join(many, F.col("digest") == F.col("d"), "left_semi")
@@ -79,7 +79,7 @@ def dedup(docs: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
     sure = groups.join(texts, "digest", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
     sure = stage(sure.filter(F.assert_true(F.col("texts") == 1, F.lit("one digest stands for two texts")).isNull()).drop("texts"), "dedup-sure")
     out = digests.drop("locator").join(sure, "digest")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "locator")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "locator", *carry)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +88,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that stay."""
-    kept = dedup(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """One row of each set of equal texts: of those with the largest doc_id (null where there is no other) one by its place.
+
+    Rows stay by their own place in the input, not by doc_id, so repeated and null ids rescue no copies.
+    """
+    rows = keyed(docs, "dedup-rows")
+    kept = dedup(rows, carry=("__file", "__row")).filter("kept").groupBy("text_sha256").agg(F.max(F.struct("__file", "__row")).alias("k"))
+    return rows.join(kept.select("k.__file", "k.__row"), ["__file", "__row"], "left_semi").select(*docs.columns)
 
 
 ORACLE = """

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, mix, stage, text_slices, word_hashes
+from .common import drop, keyed, mix, stage, text_slices, word_hashes
 from .components import components
 
 BANDS, ROWS = 32, 4
@@ -234,9 +234,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group (five-word shingles, similarity of 0.8 or more), and all documents without words."""
-    kept = near_groups(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+    """One row of each group (five-word shingles, similarity of 0.8 or more), and all rows without words.
+
+    Every row is a document of its own, whatever its doc_id; of a group the row with the least doc_id stays (null last),
+    of those one by its place in the input.
+    """
+    rows = keyed(docs, "near-rows")
+    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
+    # one row for each file of the input
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "__number long, __file string"))
+    rows = rows.join(numbers, "__file").withColumn("__n", F.shiftleft("__number", 40) + F.col("__row"))
+    groups = near_groups(rows.select(F.col("__n").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("__n"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__n")).alias("w")
+    kept = groups.join(rows.select("__n", "doc_id"), "__n").groupBy("component_id").agg(first).select("w.__n")
+    return rows.join(kept, "__n", "left_semi").select(*docs.columns)
 
 
 ORACLE = r"""

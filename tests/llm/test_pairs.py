@@ -128,6 +128,20 @@ def test_exact_rows_without_id_and_empty_tables(spark):
     assert exact_dedup.dedup(frame(spark, [])).collect() == []
 
 
+def test_stages_keep_one_row_of_repeated_and_null_ids(spark, tmp_path):
+    long = "one two three four five six seven eight"
+    rows = frame(spark, ["a", "a", "c", "b", "b", "d", long, long, "b", None, ""], [None, 3, None, 4, 4, 4, 5, 5, 3, None, None])
+    rows.repartition(2).write.parquet(f"{tmp_path}/docs")
+    for docs in (rows, spark.read.parquet(f"{tmp_path}/docs")):
+        exact = exact_dedup.exact_dedup_stage(spark, docs, "")
+        assert exact.columns == docs.columns
+        got = [(r.doc_id, r.text or "") for r in exact.collect()]
+        assert sorted(got, key=repr) == sorted([(3, "a"), (None, "c"), (4, "b"), (4, "d"), (5, long), (None, "")], key=repr)
+        near = near_dedup.near_dedup_stage(spark, docs, "")
+        got = [(r.doc_id, r.text or "") for r in near.collect()]
+        assert sorted(got, key=repr) == sorted([(3, "a"), (None, "c"), (3, "b"), (4, "d"), (5, long), (None, ""), (None, "")], key=repr)
+
+
 def brute_substrings(texts, length):
     docs = [(t or "").encode() for t in texts]
     seen, twice = set(), set()
