@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _P, drop, mix, powers, stage, text_slices
+from .induce import suffixes
 
 _RNG = np.random.Generator(np.random.PCG64(41))
 _B1, _B2 = _RNG.integers(0, 2**64, 256, np.uint64), _RNG.integers(0, 2**64, 256, np.uint64)
 _P2 = 0x9FB21C651E98DF25
-_PU, _P2U = np.uint64(_P), np.uint64(_P2)
+_P2U = np.uint64(_P2)
 
 
 class Rolling:
@@ -40,18 +41,22 @@ def least_in_windows(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, length: int, gram: int):
-    """Anchors of the strings that start in data[lo:hi]: text number, position in data, ends of the context, two hashes."""
+    """Anchors at data[lo:hi]: text number, position in data, ends of the context, two hashes."""
     n = len(data) - gram + 1
-    start = np.concatenate([np.arange(max(a, lo), min(b - length + 1, hi)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)] or [np.zeros(0, np.int64)])
+    start = np.concatenate([np.arange(max(a, lo - length), min(b - length + 1, hi)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)] or [np.zeros(0, np.int64)])
     if len(data) < length or not len(start):
         z = np.zeros(0, np.int64)
         return z, z, z, z, z, z
     one, two = Rolling(data, _B1, _P), Rolling(data, _B2, _P2)
     at = np.arange(n)
     keys = (one.of(at, at + gram) >> np.uint64(24) << np.uint64(24)) | at.astype(np.uint64)
-    spot = np.unique((least_in_windows(keys, length - gram + 1)[start] & np.uint64((1 << 24) - 1)).astype(np.int64))
+    spot = (least_in_windows(keys, length - gram + 1)[start] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    # the strings of one anchor start one after the other
+    first = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1])))
+    left, right, spot = start[first], start[np.append(first[1:], len(start)) - 1] + length, spot[first]
+    here = (spot >= lo) & (spot < hi)
+    left, right, spot = left[here], right[here], spot[here]
     text = np.searchsorted(offsets, spot, "right") - 1
-    left, right = np.maximum(offsets[text], spot + gram - length), np.minimum(offsets[text + 1], spot + length)
     # the context's hash also tells where in it the anchor stands
     context = two.of(left, right) ^ mix((spot - left).astype(np.uint64) + _P2U)
     return text, spot, left, right, one.of(spot, spot + gram).view(np.int64), context.view(np.int64)
@@ -61,8 +66,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, piece
     """Anchors of some texts: text number, position, ends of the context (in the text), hash of the anchor and of the context.
 
     The anchor of a string of ``length`` bytes is, of its pieces of ``gram`` bytes, the one whose hash is least (the first
-    of equals), so equal strings have equal anchors at equal places. The context is all that the strings with that anchor
-    can cover. A text longer than ``piece`` is taken in overlapping pieces.
+    of equals), so equal strings have equal anchors at equal places. The context is what the strings with that anchor
+    cover; each string is of one context. A text longer than ``piece`` is taken in overlapping pieces.
     """
     if len(data) <= piece:
         parts = [(*_anchors(data, offsets, 0, len(data), length, gram), 0)]
@@ -76,34 +81,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int, piece
     whole = [np.concatenate(c) for c in zip(*[(p[0], p[1] + p[6], p[2] + p[6], p[3] + p[6], p[4], p[5]) for p in parts], strict=True)]
     first = offsets[whole[0]]
     whole[1:4] = [c - first for c in whole[1:4]]
-    keep = np.unique(np.stack((whole[0], whole[1])), axis=1, return_index=True)[1] if len(parts) > 1 else slice(None)
-    return [c[keep] for c in whole]
+    return whole
 
 
-def repeated_runs(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray, first: np.ndarray, length: int):
-    """Strings of some contexts that also start at another place: context number, first and last start (in the text).
+def repeated_runs(parts: list[bytes], length: int):
+    """Strings of some contexts that also start elsewhere in them: context number, first and last start (in the context).
 
-    owner: a number of the text that each context is of; first: where in it the context starts.
+    The contexts' suffixes are sorted by induction; strings that are neighbours in that order and have ``length`` bytes in
+    common are equal, byte by byte.
     """
-    one, two = Rolling(data, _B1, _P), Rolling(data, _B2, _P2)
-    sizes = np.maximum(offsets[1:] - offsets[:-1] - length + 1, 0)
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    inner = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = offsets[which] + inner
-    a, b = one.of(at, at + length), two.of(at, at + length)
-    place = mix(owner[which].astype(np.uint64) * _PU + (first[which] + inner).astype(np.uint64))
-    order = np.lexsort((b, a))
-    a, b, place = a[order], b[order], place[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
-    starts = np.flatnonzero(new)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    twice = np.minimum.reduceat(place, starts) != np.maximum.reduceat(place, starts)
-    hit = np.sort(order[twice[np.cumsum(new) - 1]])
-    cut = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (which[hit[1:]] != which[hit[:-1]]))))[: len(hit)]
-    last = np.concatenate((cut[1:], [len(hit)])) - 1 if len(hit) else cut
-    c = which[hit[cut]]
-    return c, first[c] + inner[hit[cut]], first[c] + inner[hit[last]]
+    order, common = suffixes(parts, length)
+    equal = common >= length
+    twice = np.zeros(len(order), bool)
+    twice[order[equal | np.append(equal[1:], False)]] = True
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    hit = np.flatnonzero(twice)
+    which = np.searchsorted(ends, hit, "right")
+    inside = hit + length < ends[np.minimum(which, len(ends) - 1)]
+    hit, which = hit[inside], which[inside]
+    cut = np.flatnonzero(np.concatenate(([True], (hit[1:] != hit[:-1] + 1) | (which[1:] != which[:-1]))))[: len(hit)]
+    last = np.append(cut[1:], len(hit))[: len(cut)] - 1
+    c = which[cut]
+    begin = ends[c] - np.array([len(x) + 1 for x in parts])[c]
+    return c, hit[cut] - begin, hit[last] - begin
 
 
 def _digest(text: F.Column) -> F.Column:
@@ -151,15 +151,13 @@ def mark(docs: DataFrame, length: int = 400, gram: int | None = None, hot: int =
         def flush():
             if held:
                 u, d, first, parts = zip(*held, strict=True)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
                 u, d, first = np.array(u, np.int64), np.array(d, np.int64), np.array(first, np.int64)
-                owner = mix(u.view(np.uint64) + mix(d.view(np.uint64)))
-                c, lo, hi = repeated_runs(np.frombuffer(b"".join(parts), np.uint8), offsets, owner, first, length)
-                yield pa.RecordBatch.from_arrays([pa.array(u[c]), pa.array(d[c]), pa.array(lo), pa.array(hi + length)], ["u", "d", "lo", "hi"])
+                c, lo, hi = repeated_runs(parts, length)
+                yield pa.RecordBatch.from_arrays([pa.array(u[c]), pa.array(d[c]), pa.array(first[c] + lo), pa.array(first[c] + hi + length)], ["u", "d", "lo", "hi"])
 
         for batch in batches:
             for a, u, d, first, part in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if a != at and amount > 1 << 21:
+                if a != at and amount > 1 << 19:
                     yield from flush()
                     held, amount = [], 0
                 at = a
@@ -167,8 +165,11 @@ def mark(docs: DataFrame, length: int = 400, gram: int | None = None, hot: int =
                 amount += len(part)
         yield from flush()
 
-    runs = contexts.filter("not hot").select("a", "u", "d", "first", "bytes").repartition("a").sortWithinPartitions("a").mapInArrow(resolve, "u long, d long, lo long, hi long")
-    hot_rows = contexts.filter("hot")
+    cold = contexts.filter("not hot").select("a", "u", "d", "first", "bytes")
+    # a task sorts about 4 MB of contexts
+    tasks = max(1, min(20_000, (cold.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) >> 22))
+    runs = cold.repartition(tasks, "a").sortWithinPartitions("a").mapInArrow(resolve, "u long, d long, lo long, hi long")
+    hot_rows, every_window = contexts.filter("hot"), None
     if not hot_rows.isEmpty():
 
         def windows(batches):
@@ -193,6 +194,8 @@ def mark(docs: DataFrame, length: int = 400, gram: int | None = None, hot: int =
         runs = runs.unionByName(found.select("u", "d", "lo", "hi"))
     runs = stage(runs.groupBy("u", "d").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "sub-runs")
     drop(shared, same, open_a, contexts)
+    if every_window is not None:
+        drop(every_window, twice)
     return joined, runs
 
 
