@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="casewright-"))
     return _OWN[0]
@@ -43,11 +45,17 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def of_files(df: DataFrame) -> bool:
+    """Whether df is a table of files and nothing else, so that its rows have a file and a row number."""
+    return df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+
+
 def keyed(df: DataFrame, name: str) -> DataFrame:
-    """df with __file and __row, which name each row and are the same in every plan; staged unless it is a table of files."""
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    """doc (all columns of df), and __file and __row, which name each row and are the same in every plan; staged unless df is a table of files."""
+    if not of_files(df):
         df = stage(df, name)
-    return df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    doc = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("doc")
+    return df.select(doc, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
 
 
 def n_words(text) -> F.Column:

@@ -1,14 +1,14 @@
-"""Exact dedup: a stateful stream over digests, its state on disk, then the full bytes of whatever it hits (no Python on executors)."""
+"""Exact dedup: a stateful stream over digests, its state on disk, and the full bytes of whatever it hits (no Python on executors)."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, shared_dir, stage
+from .common import keyed, of_files, shared_dir, stage
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -16,70 +16,96 @@ _STORE = {
     # else each of many small stores sets aside megabytes before it holds a row
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
+#: Groups of more than 1 / HOT of all rows are fewer than HOT, so they may be broadcast.
+HOT = 1000
 
 
-def stream_groups(digests: DataFrame, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Groups of equal digests by a stream over the files of ``path``, whose rows are ``digests``.
+def sha256(body: Column) -> Column:
+    return F.unhex(F.sha2(body, 256))
+
+
+def stream_groups(digests: DataFrame, bodies: DataFrame, files_per_trigger: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal digests by a stream over the staged table ``digests``, and the digests that stand for several texts.
 
     The state lives in RocksDB on the executors' disks, is logged to the shared folder, never expires, and holds for each
-    digest the largest doc_id, the file that holds that document, and the number of documents. Every batch writes the
-    groups it changed; a batch that runs again overwrites its own folder.
+    digest the number of rows and, of the row with the largest doc_id, that id and the locator (file and row) of its
+    text. Each batch writes the groups it changed, then checks its hits: every text under a digest that several rows have
+    is compared in full bytes (``bodies``: digest, body, top) with the text that the state's locator names. A batch that
+    runs again overwrites its own folders. The stream has a session of its own, so no setting of the caller's changes.
     """
     spark = digests.sparkSession
     home = f"{shared_dir(spark)}/dedup-stream-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _STORE}
-    for k, v in _STORE.items():
-        spark.conf.set(k, v)
-    try:
-        reader = spark.readStream.schema(digests.schema)
-        if files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-        groups = reader.parquet(path).groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("locator", "doc_id").alias("locator"))
-        schema = groups.schema
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{home}/groups/batch={number}")
-
-        query = (groups.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(keep).start())
-        query.awaitTermination()
-        batches = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    own = spark.newSession()
+    for k, v in (_STORE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
+        own.conf.set(k, v)
+    reader = own.readStream.schema(digests.schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    groups = reader.parquet(digests.staged_path).groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count("*").alias("group_size"))
+    schema, other = groups.schema, "digest binary"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/groups/batch={number}")
+        hits = spark.read.schema(schema).parquet(f"{home}/groups/batch={number}").filter("group_size > 1").select("digest", F.col("top.locator").alias("at"))
+        unequal = bodies.join(hits, "digest").filter(F.col("top.locator") != F.col("at"))
+        unequal.select("digest").write.mode("overwrite").parquet(f"{home}/unequal/batch={number}")
+
+    query = groups.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    batches = query.lastProgress["batchId"] + 1 if query.lastProgress else 0
     if not batches:
-        return spark.createDataFrame([], schema)
-    found = spark.read.schema(schema).option("basePath", f"{home}/groups").parquet(f"{home}/groups")
-    if batches == 1:
-        return found.select(schema.fieldNames())
-    return stage(found.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.max_by("locator", "group_size").alias("locator")), "dedup-groups")
+        return spark.createDataFrame([], schema), spark.createDataFrame([], other)
+    found = spark.read.schema(schema).option("basePath", f"{home}/groups").parquet(f"{home}/groups").select(*schema.fieldNames())
+    unequal = spark.read.schema(other).option("basePath", f"{home}/unequal").parquet(f"{home}/unequal").select("digest").distinct()
+    if batches > 1:
+        found = stage(found.groupBy("digest").agg(F.max("top").alias("top"), F.max("group_size").alias("group_size")), "dedup-groups")
+    return found, unequal
 
 
-def dedup(docs: DataFrame, files_per_trigger: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def classes(docs: DataFrame, files_per_trigger: int | None = None, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, digest, locator, other) and the groups (digest, other, top, group_size) of equal texts.
+
+    ``other`` is the text itself under a digest that stands for several texts, else null, so such a digest gives as many
+    groups as texts. top: doc_id and locator of the row that stays.
+    """
+    rows = keyed(docs, "dedup-docs")
+    body = F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    full = rows.select(F.col("doc.doc_id").alias("doc_id"), body.alias("body"), digest(body).alias("digest"), F.struct(F.col("__file").alias("file"), F.col("__row").alias("row")).alias("locator"))
+    none = F.lit(None).cast("binary")
+    digests = stage(full.select("doc_id", "digest", "locator"), "dedup-digests")
+    # equal texts meet before they are shuffled
+    bodies = full.groupBy("digest", "body").agg(F.max(F.struct("doc_id", "locator")).alias("top"), F.count("*").alias("group_size"))
+    groups, unequal = stream_groups(digests, bodies, files_per_trigger)
+    members, groups = digests.withColumn("other", none), groups.select("digest", none.alias("other"), "top", "group_size")
+    unequal = stage(unequal, "dedup-unequal")
+    if not unequal.isEmpty():
+        split = bodies.join(unequal, "digest").select("digest", F.col("body").alias("other"), "top", "group_size")
+        groups = groups.join(unequal, "digest", "left_anti").unionByName(split)
+        apart = full.join(unequal, "digest").select("doc_id", "digest", "locator", F.col("body").alias("other"))
+        members = members.join(unequal, "digest", "left_anti").unionByName(apart)
+    return members, groups
+
+
+def dedup(docs: DataFrame, files_per_trigger: int | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """Every document with its group of equal texts; the row with the largest doc_id of a group stays.
 
     A null text counts as empty, so null and empty texts are one group. Rows that repeat a doc_id with the same text are
-    the same document and share its verdict; a null doc_id stays only in a group that has no other. Documents in groups
-    of two or more are compared in full bytes: if one digest stood for two texts, the job fails rather than drop one.
-    Returns doc_id, keep_id, group_size, kept, text_sha256, locator (the file of the row that stays), and the columns ``carry``.
+    the same document and share its verdict; a null doc_id stays only in a group that has no other. Texts of one digest
+    are compared in full bytes; should a digest stand for several texts, each is a group of its own. Further columns do
+    not matter; texts are read whole, of any length; an empty table gives an empty result.
+    Returns doc_id, keep_id, group_size, kept, text_sha256, locator (file and row of the row that stays).
     """
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = F.unhex(F.sha2(body, 256))
-    docs = docs.select("doc_id", "text", *carry)
-    try:
-        located = docs.withColumn("locator", F.input_file_name())
-    except AnalysisException:  # rows of several tables have no one file until they are written
-        docs = stage(docs, "dedup-docs")
-        located = docs.withColumn("locator", F.input_file_name())
-    digests = stage(located.select("doc_id", digest.alias("digest"), "locator", *carry), "dedup-digests")
-    groups = stream_groups(digests, digests.staged_path, files_per_trigger)
-    many = groups.filter("group_size > 1").select(F.col("digest").alias("d"))
-    hits = docs.select(digest.alias("digest"), body.alias("body")).join(many, F.col("digest") == F.col("d"), "left_semi")
-    texts = stage(hits.groupBy("digest", "body").agg(F.count("*").alias("n")).groupBy("digest").agg(F.count("*").alias("texts")), "dedup-texts")
-    sure = groups.join(texts, "digest", "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
-    sure = stage(sure.filter(F.assert_true(F.col("texts") == 1, F.lit("one digest stands for two texts")).isNull()).drop("texts"), "dedup-sure")
-    out = digests.drop("locator").join(sure, "digest")
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "locator", *carry)
+    members, groups = classes(docs, files_per_trigger, digest)
+    g = groups.select(F.col("digest").alias("d"), F.col("other").alias("o"), "top", "group_size")
+    same = (F.col("digest") == F.col("d")) & F.col("other").eqNullSafe(F.col("o"))
+    limit = members.count() / HOT
+    # fewer than HOT rows, whatever the input
+    hot = F.broadcast(stage(g.filter(F.col("group_size") > limit), "dedup-hot"))
+    large = members.join(hot, same)
+    small = members.join(hot, same, "left_anti").join(g.filter(F.col("group_size") <= limit), same)
+    out = large.unionByName(small)
+    keep = F.col("top.doc_id")
+    return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("top.locator").alias("locator"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,13 +114,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each set of equal texts: of those with the largest doc_id (null where there is no other) one by its place.
+    """One row of each set of equal texts: the one whose locator the state holds (largest doc_id, then file and row; null last).
 
     Rows stay by their own place in the input, not by doc_id, so repeated and null ids rescue no copies.
     """
+    docs = docs if of_files(docs) else stage(docs, "dedup-rows")
     rows = keyed(docs, "dedup-rows")
-    kept = dedup(rows, carry=("__file", "__row")).filter("kept").groupBy("text_sha256").agg(F.max(F.struct("__file", "__row")).alias("k"))
-    return rows.join(kept.select("k.__file", "k.__row"), ["__file", "__row"], "left_semi").select(*docs.columns)
+    kept = classes(docs)[1].select(F.col("top.locator.file").alias("__file"), F.col("top.locator.row").alias("__row"))
+    return rows.join(kept, ["__file", "__row"], "left_semi").select("doc.*")
 
 
 ORACLE = """

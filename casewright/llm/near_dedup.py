@@ -243,11 +243,12 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     files = sorted(r[0] for r in rows.select("__file").distinct().collect())
     # one row for each file of the input
     numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "__number long, __file string"))
-    rows = rows.join(numbers, "__file").withColumn("__n", F.shiftleft("__number", 40) + F.col("__row"))
-    groups = near_groups(rows.select(F.col("__n").alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("__n"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__n")).alias("w")
-    kept = groups.join(rows.select("__n", "doc_id"), "__n").groupBy("component_id").agg(first).select("w.__n")
-    return rows.join(kept, "__n", "left_semi").select(*docs.columns)
+    rows = rows.join(numbers, "__file").select("doc", (F.shiftleft("__number", 40) + F.col("__row")).alias("__n"))
+    groups = near_groups(rows.select(F.col("__n").alias("doc_id"), F.col("doc.text").alias("text")), width=5, percent=80).select(F.col("doc_id").alias("__n"), "component_id")
+    of = F.col("doc.doc_id")
+    first = F.min(F.struct(of.isNull().alias("none"), of.alias("id"), "__n")).alias("w")
+    kept = groups.join(rows.select("__n", F.struct(of).alias("doc")), "__n").groupBy("component_id").agg(first).select("w.__n")
+    return rows.join(kept, "__n", "left_semi").select("doc.*")
 
 
 ORACLE = r"""

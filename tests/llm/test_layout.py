@@ -133,8 +133,8 @@ def test_bins_hold_their_lengths(spark):
 # ---- mixing
 
 
-def brute_mix(rows):
-    """(doc_id, source) -> size, source_size, target, taken, by a plain reading of the contract."""
+def brute_mix(rows, block):
+    """(doc_id, source) -> size, source_size, target, taken, first slot, slots that begin it, by a plain reading of the contract and the schedule."""
     sources = sorted({s for _, _, s in rows if s is not None}) + ([None] if any(s is None for _, _, s in rows) else [])
     size = {s: sum(n_words(t) for _, t, x in rows if x == s) for s in sources}
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
@@ -148,12 +148,24 @@ def brute_mix(rows):
         target |= {s: 2.0 * size[s] for s in full}
         left -= full
     out = {}
+    total, parts, low = sum(target.values()), [], 0
     for s in sources:
-        at, take = 0, math.floor(target[s] + 1e-9)
-        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: ("" if r[0] is None else hashlib.md5(str(r[0]).encode()).hexdigest(), r[0] or -1)):
+        if target[s] > 0:
+            parts.append([s, low, math.floor(sum(target[x] for x in sources[: sources.index(s) + 1]) / total * 2**31)])
+            low = parts[-1][2]
+    if parts:
+        parts[-1][2] = 2**31
+    slots = {s: [] for s in sources}
+    for i in range(math.ceil(total / block)):
+        u = i * 1327217885 % 2**31
+        slots[next(s for s, lo, hi in parts if lo <= u < hi)].append(i)
+    for s in sources:
+        at, take = 0, min(len(slots[s]) * block, 2 * size[s])
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        for i, t, _ in sorted((r for r in rows if r[2] == s), key=lambda r: (md5("?" + (r[1] or "")) if r[0] is None else md5(str(r[0])), r[0] or -1)):
             n = n_words(t)
-            taken = sum(max(0, min(at + p * size[s] + n, take) - (at + p * size[s])) for p in (0, 1))
-            out[i, s] = (n, size[s], target[s], taken)
+            lots = [(p * size[s] + at, min(take, p * size[s] + at + n)) for p in (0, 1) if n and p * size[s] + at < take]
+            out[i, s] = (n, size[s], target[s], sum(b - a for a, b in lots), slots[s][lots[0][0] // block] if lots else None, [slots[s][a // block] for a, _ in lots])
             at += n
     return out
 
@@ -167,30 +179,52 @@ def mix_rows():
 def test_mix_equals_plain_version(spark):
     rows = mix_rows()
     got = mixing.mix(frame(spark, rows), block=16).collect()
-    want = brute_mix(rows)
+    want = brute_mix(rows, 16)
     assert len(got) == len(rows)
     for r in got:
-        n, source_size, target, taken = want[r.doc_id, r.source]
-        assert (r.size, r.source_size, r.taken) == (n, source_size, taken) and r.target == pytest.approx(target)
+        n, source_size, target, taken, slot, starts = want[r.doc_id, r.source]
+        assert (r.size, r.source_size, r.taken, r.slot, r.starts) == (n, source_size, taken, slot, starts) and r.target == pytest.approx(target)
         assert r.taken <= 2 * r.size
     for s in {r.source for r in got}:
         own = [r for r in got if r.source == s]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 * 16
     assert sorted(map(str, mixing.mix(frame(spark, rows), block=16).collect())) == sorted(map(str, got))
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_another_order_of_points_gives_another_mix(spark, monkeypatch):
+    rows = mix_rows()
+    one = {(r.doc_id, r.source): (r.taken, r.slot) for r in mixing.mix(frame(spark, rows), block=16).collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 5)
+    two = {(r.doc_id, r.source): (r.taken, r.slot) for r in mixing.mix(frame(spark, rows), block=16).collect()}
+    assert sum(one[k][0] != two[k][0] for k in one) > 0 and sum(one[k][1] != two[k][1] for k in one) > len(rows) // 2
+
+
 def test_schedule_keeps_every_prefix_near_the_weights(spark):
-    s = spark.createDataFrame([(1, 5000.0), (2, 2000.0), (3, 1000.0), (4, 0.0)], "sid int, target double")
-    slots = mixing.schedule(spark, s, 10).orderBy("slot").collect()
-    assert {k: sum(r.words for r in slots if r.sid == k) for k in (1, 2, 3)} == {1: 5000, 2: 2000, 3: 1000}
+    s = spark.createDataFrame([(1, 5000.0, 9e9), (2, 2000.0, 9e9), (3, 1000.0, 300.0), (4, 0.0, 0.0)], "sid int, target double, full double")
+    slots, take = mixing.schedule(spark, s, 10)
+    slots, take = slots.orderBy("slot").collect(), {r.sid: r["take"] for r in take.collect()}
+    assert len(slots) == 800 and [r.slot for r in slots] == list(range(800))
     for k in (1, 2, 3):
-        assert sorted(r["rank"] for r in slots if r.sid == k) == list(range({1: 500, 2: 200, 3: 100}[k]))
+        assert [r["rank"] for r in slots if r.sid == k] == list(range(sum(r.sid == k for r in slots)))
+    assert abs(take[1] - 5000) <= 30 and abs(take[2] - 2000) <= 30 and take[3] == 300
     for n in range(20, len(slots), 60):
         for k, share in ((1, 5 / 8), (2, 2 / 8), (3, 1 / 8)):
             assert abs(sum(r.sid == k for r in slots[:n]) - share * n) <= 4
 
 
+def test_mixing_stage_counts_rows_by_their_place(spark, tmp_path):
+    rows = [(1, "a b c", "s"), (1, "d e f g h", "s"), (1, "a b c", "s"), (None, "x y z", "s"), (None, "u v", "s"), (2, None, "s")]
+    df = frame(spark, rows).withColumns({"__id": F.lit(1), "__file": F.lit("f"), "doc": F.lit(2), "__slot": F.lit(3), "starts": F.lit(4)})
+    df.write.parquet(f"{tmp_path}/docs")
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        got = mixing.mixing_stage(spark, docs, "")
+        assert got.columns == docs.columns
+        texts = [r.text for r in got.collect()]
+        # 16 words in all, 24 in the mix: one block of 64 and twice the source at most, so every text is begun twice
+        assert sorted(texts) == sorted(t for _, t, _ in rows if t for _ in range(2))
+
+
 # ---- pipeline
 
 
@@ -221,16 +255,18 @@ def test_each_stage_equals_its_plain_version(spark, sf_dir):
     assert sorted(map(key, apart.collect())) == sorted(key(r) for r in rows if want[r.doc_id][1] == r.doc_id)
 
     rows = apart.collect()
-    plan = {(r.doc_id, r.source): 0 if r.take <= r.start else 1 + (r.take > r.start + r.source_size) for r in mixing.mix(apart).collect()}
+    plan = {(i, s): v[5] for (i, s), v in brute_mix([(r.doc_id, r.text, r.source) for r in rows], mixing.BLOCK).items()}
     mixed = steps["mixing"](spark, apart, sf_dir)
     assert mixed.columns == docs.columns
-    assert sorted(map(key, mixed.collect())) == sorted(key(r) for r in rows for _ in range(plan[r.doc_id, r.source]))
+    assert sorted(map(key, mixed.collect())) == sorted(key(r) for r in rows for _ in plan[r.doc_id, r.source])
+    order = [min(plan[r.doc_id, r.source]) for r in mixed.collect()]
+    assert sum(a > b for a, b in zip(order, order[1:])) < len(order) // 2
     by = {}
     for r in mixed.collect():
         by[r.source] = by.get(r.source, 0) + n_words(r.text)
     target = {r.source: (r.target, r.source_size) for r in mixing.mix(apart).collect()}
     longest = max(n_words(r.text) for r in rows)
-    assert all(abs(by.get(s, 0) - t) <= longest for s, (t, _) in target.items())
+    assert all(abs(by.get(s, 0) - t) <= longest + 3 * mixing.BLOCK for s, (t, _) in target.items())
 
     packed = steps["packing"](spark, mixed, sf_dir).collect()
     check_packed(packed, [(r.doc_id, n_words(r.text)) for r in mixed.collect()], 16_384)

@@ -128,6 +128,15 @@ def test_exact_rows_without_id_and_empty_tables(spark):
     assert exact_dedup.dedup(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("files", [None, 1])
+def test_a_digest_of_several_texts_is_split(spark, files):
+    texts = ["a", "b", "a", None, "", "c", "b", "d" * 50, "d" * 50, "a"]
+    for weak in (lambda body: F.lit(b"same").cast("binary"), lambda body: F.substring(F.unhex(F.sha2(body, 256)), 1, 0)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(frame(spark, texts).repartition(3), files, weak).collect()}
+        last = {t or "": i for i, t in enumerate(texts)}
+        assert got == {i: (last[t or ""], sum((t or "") == (u or "") for u in texts), last[t or ""] == i) for i, t in enumerate(texts)}
+
+
 def test_stages_keep_one_row_of_repeated_and_null_ids(spark, tmp_path):
     long = "one two three four five six seven eight"
     rows = frame(spark, ["a", "a", "c", "b", "b", "d", long, long, "b", None, ""], [None, 3, None, 4, 4, 4, 5, 5, 3, None, None])
