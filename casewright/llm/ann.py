@@ -34,7 +34,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return book
 
 
-def fit(sample: np.ndarray, stages: int = 8, rounds: int = 5, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def fit(sample: np.ndarray, stages: int = 16, rounds: int = 5, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """A coarse codebook, and ``stages`` codebooks of what each stage leaves of the residual scaled to length 1."""
     rng = np.random.default_rng(seed)
     coarse = _kmeans(sample, WORDS, rounds, rng)
@@ -85,36 +85,34 @@ def _vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.reshape(-1, dim).astype(np.float32)
 
 
-def usable(df: DataFrame, dim: int) -> DataFrame:
-    """vec_id and v (array of double) of the rows that take part: an id, ``dim`` finite components, not all zero."""
-    v = F.col("embedding").cast("array<double>")
-    good = (F.size("v") == dim) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
+def usable(df: DataFrame) -> DataFrame:
+    """vec_id and v of the rows that may take part: an id, finite components, not all zero."""
+    v = F.col("embedding")
+    good = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))) & F.exists("v", lambda e: e != 0)
     return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(good)
 
 
-def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 160, sample: int = 16_384, lots: int = 16) -> DataFrame:
+def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 320, sample: int = 16_384, lots: int = 16) -> DataFrame:
     """The k rows found nearest to each row whose vec_id is a multiple of ``every``: query_id, rank, vec_id, score.
 
     Codebooks are fitted on the driver to at most ``sample`` rows, the first by a hash of vec_id. All rows are encoded:
     one coarse codeword, then codewords that add up to the residual scaled to length 1, so that a dense group of rows is
     told apart as well as the whole. Codes travel packed, thousands to a row; every block of queries meets every block of
-    codes and keeps, for each query and lot of blocks, the ``wide`` rows whose coded distance is least (equal ones by
-    vec_id). Those are reranked on the original vectors in double precision; ties go to the smaller vec_id.
+    codes, lot by lot, and keeps the ``wide`` rows of the lot whose coded distance is least (equal ones by vec_id). The
+    ``wide`` least of all lots are reranked on the original vectors in double precision; ties go to the smaller vec_id.
 
-    Rows whose vector is null, zero, of another length than the first sampled one, or not finite take no part. Of rows
-    that repeat a vec_id the nearest counts, and rows with the query's own vec_id never do. Fewer than k rows give fewer
-    results; an empty table gives none.
+    Rows whose vector is null, zero or not finite, and those of another length than most others (of equally frequent
+    lengths the larger), take no part. Of rows that repeat a vec_id the nearest counts, and rows with the query's own
+    vec_id never do. Fewer than k rows give fewer results; an empty table gives none; further columns do not matter.
     """
     spark = df.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    first = df.select(F.max(F.size("embedding"))).first()[0]
-    if not first or first < 0:
-        return spark.createDataFrame([], schema)
-    dim = int(first)
-    rows = stage(usable(df, dim), "ann-rows")
+    good = usable(df)
+    lengths = good.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("dim").desc()).first()
+    if lengths is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = int(lengths["dim"])
+    rows = stage(good.filter(F.size("v") == dim), "ann-rows")
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    if not len(some):
-        return spark.createDataFrame([], schema)
     model = spark.sparkContext.broadcast(fit(np.stack(some.to_numpy()).astype(np.float32)))
 
     def encoded(batches):
@@ -130,30 +128,35 @@ def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 160, sample
         for batch in batches:
             ids, x = _vectors(batch, dim)
             for lo in range(0, len(ids), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[lo : lo + 1024].tobytes()]), pa.array([x[lo : lo + 1024].tobytes()])], ["qids", "queries"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[lo : lo + 1024].tobytes()]), pa.array([x[lo : lo + 1024].tobytes()])], ["ids", "queries"])
 
     codes = stage(rows.mapInArrow(encoded, "block long, ids binary, coarse binary, scale binary, codes binary, norm binary"), "ann-codes")
     asked = rows.filter(F.col("vec_id") % every == 0)
-    asked_blocks = stage(asked.repartition(max(1, asked.count() // 4096), F.xxhash64("vec_id")).mapInArrow(packed_queries, "qids binary, queries binary").withColumn("qb", F.monotonically_increasing_id()), "ann-queries")
+    asked_blocks = stage(asked.repartition(max(1, asked.count() // 4096), F.xxhash64("vec_id")).mapInArrow(packed_queries, "ids binary, queries binary").withColumn("qb", F.monotonically_increasing_id()), "ann-queries")
+    # one number for a thousand queries
     numbers = asked_blocks.agg(F.sort_array(F.collect_list("qb")).alias("all")).first()["all"]
-    pairs = codes.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots))).withColumn("qb", F.explode(F.lit(numbers).cast("array<long>")))
-    pairs = pairs.join(asked_blocks, "qb").repartition("qb", "lot").sortWithinPartitions("qb", "lot").select("qb", "lot", "qids", "queries", "ids", "coarse", "scale", "codes", "norm")
+    # queries travel once to each lot, codes once to each block of queries
+    left = asked_blocks.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).withColumn("block", F.lit(None).cast("long"))
+    right = codes.withColumn("lot", F.pmod(F.xxhash64("block"), F.lit(lots)).cast("int")).withColumn("qb", F.explode(F.lit(numbers).cast("array<long>")))
+    both = left.unionByName(right, allowMissingColumns=True).repartition("qb", "lot").sortWithinPartitions("qb", "lot", F.col("block").asc_nulls_first())
+    both = both.select("qb", "lot", "ids", "queries", "coarse", "scale", "codes", "norm")
 
     def scored(batches):
         coarse, books = model.value
 
         def flush(best):
             for query, (ids, near) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids)], ["query_id", "vec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), query)), pa.array(ids), pa.array(near.astype(np.float64))], ["query_id", "vec_id", "near"])
 
-        at, best = None, {}
+        qids, best = np.zeros(0, np.int64), {}
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["qb"], row["lot"]) != at:
+                if row["queries"] is not None:  # a new block of queries, or the same in another lot
                     yield from flush(best)
-                    at, best = (row["qb"], row["lot"]), {}
-                    qids = np.frombuffer(row["qids"], np.int64)
+                    best = {}
+                    qids = np.frombuffer(row["ids"], np.int64)
                     queries = np.frombuffer(row["queries"], np.float32).reshape(-1, dim)
+                    continue
                 ids, c = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["coarse"], np.uint8)
                 scale, norm = np.frombuffer(row["scale"], np.float32), np.frombuffer(row["norm"], np.float32)
                 code = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
@@ -182,9 +185,13 @@ def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 160, sample
                         best[query] = (all_ids[keep], all_near[keep])
         yield from flush(best)
 
-    found = stage(pairs.mapInArrow(scored, "query_id long, vec_id long").distinct(), "ann-found")
+    found = both.mapInArrow(scored, "query_id long, vec_id long, near double").groupBy("query_id", "vec_id").agg(F.min("near").alias("near"))
+    # a query brings at most lots * wide rows here
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "vec_id"))
+    found = stage(found.withColumn("place", place).filter(F.col("place") <= wide).select("query_id", "vec_id"), "ann-found")
     near = found.join(rows, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.sqrt(F.aggregate(F.zip_with("v", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    wide_of = lambda c: F.col(c).cast("array<double>")
+    score = F.sqrt(F.aggregate(F.zip_with(wide_of("v"), wide_of("q"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     near = near.select("query_id", "vec_id", score.alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).filter(F.col("rank") <= k)
     return near.select(F.col("query_id").cast("long"), "rank", F.col("vec_id").cast("long"), "score")

@@ -8,22 +8,12 @@ from pyspark.sql import functions as F
 
 from .common import n_words, stage
 
-#: Lengths up to this are histogram bins of their own; above, bins widen by 1/64, so that bins stay few for any corpus.
-EXACT_BELOW = 1024
-
-
-def length_bin(n) -> F.Column:
-    """The bin's largest length: n itself up to EXACT_BELOW, above it the next of 64 equal steps between powers of two."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 6, F.lit(0))).cast("long")
-    return F.when(n <= EXACT_BELOW, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def best_bounds(lengths, counts, totals, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets that together pad the least.
 
-    lengths: ascending bin lengths; counts and totals: documents and words of each bin. cost(i, j) is what bins i..j pad
-    if filled up to lengths[j]; the best first bin of a last bucket never moves left as j grows, so each layer of the
-    dynamic programme is solved by halving.
+    lengths: all lengths, ascending; counts and totals: documents and words of each. cost(i, j) is what lengths i..j pad
+    if filled up to lengths[j]; the best first length of a last bucket never moves left as j grows, so each layer of the
+    dynamic programme is solved by halving, in time and memory of about the number of lengths.
     """
     lengths, c, t = np.asarray(lengths, np.float64), np.concatenate(([0.0], np.cumsum(counts, dtype=np.float64))), np.concatenate(([0.0], np.cumsum(totals, dtype=np.float64)))
     n = len(lengths)
@@ -58,22 +48,26 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16_384, spread: int =
     A bucket's documents fill up to bucket_len tokens, and a batch holds as many as fit into ``budget`` padded tokens (a
     longer document makes a batch alone). Documents of a bucket are dealt by a hash into lots of about ``spread``, so no
     task holds a bucket; batches form within lots, in the order of the hash, and only the last of a lot may be part full.
-    Tokens are words. Empty and null texts have no tokens and share the shortest bucket; repeated rows are packed each;
-    an empty table packs into nothing.
+    Tokens are words. The histogram has every length on its own, so the padding is the least there is; it grows with the
+    number of different lengths, not of documents. Empty and null texts have no tokens and share the shortest bucket;
+    repeated rows, and rows without doc_id, are packed each, dealt by their length and place; an empty table packs into
+    nothing; further columns do not matter.
     """
     spark = docs.sparkSession
-    sized = stage(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens")).withColumn("bin", length_bin(F.col("n_tokens"))), "pack-sized")
-    histogram = sized.groupBy("bin").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).orderBy("bin").collect()
+    # rows without doc_id, or that repeat one, would share a hash
+    place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    sized = stage(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), place.alias("h")), "pack-sized")
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
     if not histogram:
-        return sized.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.col("bin").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"))
-    bounds = best_bounds([r["bin"] for r in histogram], [r["n"] for r in histogram], [r["t"] for r in histogram], buckets)
+        return sized.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.col("n_tokens").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"))
+    bounds = best_bounds([r["n_tokens"] for r in histogram], [r["n"] for r in histogram], [r["n"] * r["n_tokens"] for r in histogram], buckets)
     bucket, low = None, -1
     for k, b in enumerate(bounds):
-        lots = max(1, -(-sum(r["n"] for r in histogram if low < r["bin"] <= b) // spread))
+        lots = max(1, -(-sum(r["n"] for r in histogram if low < r["n_tokens"] <= b) // spread))
         one = F.struct(F.lit(k).alias("bucket"), F.lit(b).cast("long").alias("bucket_len"), F.lit(lots).cast("long").alias("lots"))
-        bucket = F.when(F.col("bin") <= b, one) if bucket is None else bucket.when(F.col("bin") <= b, one)
+        bucket = F.when(F.col("n_tokens") <= b, one) if bucket is None else bucket.when(F.col("n_tokens") <= b, one)
         low = b
-    d = sized.withColumn("b", bucket).withColumn("h", F.xxhash64(F.col("doc_id"))).select("doc_id", "n_tokens", "h", "b.*")
+    d = sized.withColumn("b", bucket).select("doc_id", "n_tokens", "h", "b.*")
     d = d.withColumn("lot", F.pmod("h", F.col("lots")))
     fit = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1))))
     place = F.row_number().over(Window.partitionBy("bucket", "lot").orderBy("h", "doc_id", "n_tokens")) - 1

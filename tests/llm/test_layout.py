@@ -69,6 +69,36 @@ def test_vectors_that_take_no_part_and_ties(spark):
     assert ann.search(df.limit(0)).collect() == [] and ann.search(df.filter("vec_id in (100, 200)")).collect() == []
 
 
+def test_vectors_of_another_length_change_nothing(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
+    more = [(100, rng.normal(size=12).tolist()), (200, [None] * 40), (3, rng.normal(size=2).tolist()), (300, [])]
+    out = [sorted(map(tuple, ann.search(spark.createDataFrame(r, "vec_id long, embedding array<double>")).collect())) for r in (rows, rows + more)]
+    assert out[0] == out[1] and len(out[0]) == 10
+    # repeated ids: the nearest counts; a block of queries meets every lot of codes
+    twice = rows + [(7, [9.0] * 6), (7, rows[0][1])]
+    got = ann.search(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), lots=3).orderBy("rank").collect()
+    assert (got[0].vec_id, got[0].score) == (7, 0.0) and sum(r.vec_id == 7 for r in got) == 1
+
+
+def test_recall_on_a_table_far_larger_than_the_sample(spark):
+    """A third of the rows in one tight group; the codebooks see a tenth of all."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    x[:7_000] = x[0] + 0.01 * rng.normal(size=(7_000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, sample=2_000).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    x = x.astype(np.float64)
+    hit = {True: [], False: []}
+    for q in range(0, 20_000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit[q < 7_000].append(len(set(np.argsort(d, kind="stable")[:10].tolist()) & set(got[q])) / 10)
+    assert np.mean(hit[True]) >= 0.9 and np.mean(hit[False]) >= 0.9
+
+
 def test_beam_search_lowers_the_error():
     x = np.random.default_rng(0).normal(size=(4000, 16)).astype(np.float32)
     coarse, books = ann.fit(x, stages=4)
@@ -124,10 +154,25 @@ def test_batches_hold_every_document_once(spark):
     assert packing.pack(frame(spark, [])).collect() == []
 
 
-def test_bins_hold_their_lengths(spark):
-    got = spark.range(0, 300_000, 37).select("id", packing.length_bin(F.col("id")).alias("b")).collect()
-    assert all(r.id <= r.b <= max(r.id, 1024) * (1 + 1 / 63) for r in got)
-    assert len({r.b for r in got if r.id > 1024}) < 64 * 9
+def test_a_table_is_padded_the_least(spark):
+    """A plain dynamic programme over all lengths, long ones too, gives no less padding than the packed table has."""
+    rng = np.random.default_rng(8)
+    sizes = [int(n) for n in np.exp(rng.uniform(0, 9, 120))]
+    got = packing.pack(frame(spark, [(i, "w " * n, None) for i, n in enumerate(sizes)]), buckets=5).collect()
+    lengths = sorted(set(sizes))
+    best = {(-1, 0): 0}
+    for k in range(1, 6):
+        for j in range(k - 1, len(lengths)):
+            best[j, k] = min(best[i, k - 1] + sum(lengths[j] - n for n in sizes if (i < 0 or n > lengths[i]) and n <= lengths[j]) for i in range(-1, j) if (i, k - 1) in best)
+    assert sum(r.bucket_len - r.n_tokens for r in got) == min(best[len(lengths) - 1, k] for k in range(1, 6))
+    assert {r.bucket_len for r in got} <= set(lengths)
+
+
+def test_rows_without_id_are_dealt_over_lots(spark):
+    rows = [(None, "w " * (i % 5), None) for i in range(200)]
+    got = packing.pack(frame(spark, rows), buckets=1, budget=40, spread=20).collect()
+    check_packed(got, [(-1, n_words(t)) for _, t, _ in rows], 40)
+    assert len({r.batch_id.split("-")[1] for r in got}) == 10
 
 
 # ---- mixing
