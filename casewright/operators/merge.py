@@ -33,6 +33,18 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))).filter("_r = 1").drop("_r")
 
 
+def map_first_wins(df: DataFrame, path: str, root: str, pattern: str, order: list[str]) -> DataFrame:
+    """key (extracted from the path, trimmed and in lower case) and the first row that has it, of paths under ``root``."""
+    d = df.filter(F.col(path).startswith(root)).withColumn("key", F.lower(F.trim(F.regexp_extract(path, pattern, 1))))
+    return first_wins(d.filter("key <> ''"), ["key"], order)
+
+
+def rename_keys(df: DataFrame, key: str, renamed: Column, order: list[str]) -> DataFrame:
+    """Rows under their new keys; where keys meet, a row that had the key already stays, else the first in order."""
+    d = df.withColumn("_new", renamed).withColumn("_moved", F.col("_new") != F.col(key))
+    return first_wins(d, ["_new"], ["_moved", *order]).withColumn(key, F.col("_new")).drop("_new", "_moved")
+
+
 def append_text(df: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
     """Texts of each group one under the other, leaving out those that the text so far already holds."""
     parts = F.filter(ordered_list(order, text), lambda x: x.isNotNull() & (F.trim(x) != ""))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.sources.shared import written
+
 
 def blocks(df: DataFrame, doc: str, order: list[str], start: Column, end: Column, early: Column) -> DataFrame:
     """Cuts each document into blocks: adds block (0 is the preamble) to every row that has a place.
@@ -38,17 +40,16 @@ def truncate_after_last(df: DataFrame, doc: str, order: str, mark: Column) -> Da
 
 
 def packed(items: Column, size, budget: int) -> Column:
-    """Chunk number (from 0) of each item of an array: an item that would exceed the budget opens a chunk.
+    """Where chunks begin in an array of items (from 0): an item that would exceed the budget opens a chunk.
 
     An item larger than the budget opens a chunk that nothing is added to; no chunk is empty.
     """
-    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("out"))
 
     def step(a, x):
         n = size(x).cast("long")
-        opens = (a["chunk"] < 0) | (a["used"] + n > budget)
-        chunk = F.when(opens, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(opens, n).otherwise(a["used"] + n).alias("used"), F.concat(a["out"], F.array(chunk)).alias("out"))
+        opens = (a["at"] == 0) | (a["used"] + n > budget)
+        return F.struct((a["at"] + 1).alias("at"), F.when(opens, n).otherwise(a["used"] + n).alias("used"), F.when(opens, F.concat(a["out"], F.array(a["at"]))).otherwise(a["out"]).alias("out"))
 
     return F.aggregate(items, start, step, lambda a: a["out"])
 
@@ -56,10 +57,11 @@ def packed(items: Column, size, budget: int) -> Column:
 def pack_rows(df: DataFrame, doc: str, order: str, text: str, size, budget: int, join: str = "\n") -> DataFrame:
     """doc, chunk, n_items, text: each document's texts packed in order into chunks under the budget."""
     lists = df.groupBy(doc).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]).alias("_items"))
-    zipped = F.arrays_zip(packed(F.col("_items"), size, budget).alias("chunk"), F.col("_items").alias("item"))
-    placed = lists.select(doc, F.posexplode(zipped).alias("_i", "z")).select(doc, "_i", "z.*")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("_i", "item"))), lambda x: x["item"])
-    return placed.groupBy(doc, "chunk").agg(F.count("*").alias("n_items"), F.array_join(ordered, join).alias(text))
+    begins = lists.withColumn("_b", packed(F.col("_items"), size, budget))
+    ends = F.concat(F.slice("_b", 2, F.size("_b")), F.array(F.size("_items")))
+    cut = begins.select(doc, "_items", F.posexplode(F.arrays_zip(F.col("_b").alias("b"), ends.alias("e"))).alias("chunk", "z"))
+    n = F.col("z.e") - F.col("z.b")
+    return cut.select(doc, "chunk", n.cast("long").alias("n_items"), F.array_join(F.slice("_items", F.col("z.b") + 1, n), join).alias(text))
 
 
 def char_chunks(df: DataFrame, keys: list[str], text: str, size: int) -> DataFrame:
@@ -107,12 +109,12 @@ def context_query(query: Column, last_answer: Column, chars: int = 300) -> Colum
 def reduce_until_one(df: DataFrame, doc: str, order: str, text: str, size, budget: int, shorten, rounds: int = 20) -> DataFrame:
     """Packs and shortens each document's texts again and again until one is left; ``shorten`` is a Column -> Column.
 
-    Each round at least halves what is packed if two items fit a budget, so rounds are few; the loop only builds plans.
+    Each round at least halves what is packed if two items fit a budget, so rounds are few. Each round is written
+    (shared.written), so none is computed twice. Raises if some document has more than one text after ``rounds``.
     """
     d = df.select(doc, F.col(order).alias("_o"), text)
     for _ in range(rounds):
-        packed_rows = pack_rows(d, doc, "_o", text, size, budget)
-        d = packed_rows.select(doc, F.col("chunk").alias("_o"), shorten(F.col(text)).alias(text))
-        if not d.groupBy(doc).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
-            break
-    return d.drop("_o")
+        d = written(pack_rows(d, doc, "_o", text, size, budget).select(doc, F.col("chunk").alias("_o"), shorten(F.col(text)).alias(text)), "reduce")
+        if d.filter("_o > 0").isEmpty():
+            return d.drop("_o")
+    raise ValueError(f"texts left after {rounds} rounds: two of them do not fit the budget")

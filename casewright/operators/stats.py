@@ -65,12 +65,14 @@ def keyword_signature(words: DataFrame, word: str, doc: str, medium: int = 2, co
     return g.withColumn("bucket", F.when(F.col("docs") < medium, "unique").when(F.col("docs") < common, "medium").otherwise("common"))
 
 
-def inverted_index(words: DataFrame, word: str, doc: str, most: int) -> DataFrame:
-    """word, docs, listed: ascending documents of the words that stand in at most ``most`` (more would be no key)."""
-    pairs = words.select(word, doc).distinct()
-    rare = pairs.groupBy(word).agg(F.count("*").alias("docs")).filter(F.col("docs") <= most)
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(doc)), lambda x: x.cast("string")), ",")
-    return pairs.join(rare, word).groupBy(word).agg(F.first("docs").alias("docs"), listed.alias("listed"))
+def inverted_index(words: DataFrame, word: str, doc: str, part: Column) -> DataFrame:
+    """word, part, docs, listed: ascending documents of every word, a frequent word's list in numbered parts.
+
+    part is computed from the document and bounds what one row lists (as in doc / 1000).
+    """
+    listed = F.sort_array(F.collect_set(doc))
+    g = words.groupBy(word, part.alias("part")).agg(listed.alias("_l"))
+    return g.select(word, "part", F.size("_l").cast("long").alias("docs"), F.array_join(F.transform("_l", lambda x: x.cast("string")), ",").alias("listed"))
 
 
 def collected(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:

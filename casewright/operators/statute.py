@@ -73,6 +73,16 @@ def resolve_references(refs: DataFrame, versions: DataFrame, all_units: DataFram
     return out.select("id", "law_name", "article_id", F.col("version_no").alias("version_key"), "fallback", "level", "text", reason.alias("reason"))
 
 
+def current_addenda(addenda: DataFrame, laws: DataFrame) -> DataFrame:
+    """The units (exploded) of the addenda that belong to a law's current promulgation number, leading zeros apart.
+
+    addenda: law_id, promulgation_no, units (array of structs) and further columns; laws: law_id, current_no.
+    """
+    plain = lambda c: F.ltrim(F.trim(F.col(c)), F.lit("0"))
+    own = addenda.join(laws, "law_id").filter(plain("promulgation_no") == plain("current_no"))
+    return own.select(*[c for c in addenda.columns if c != "units"], F.inline("units"))
+
+
 def cross_law_impact(changed: DataFrame, versions: DataFrame) -> DataFrame:
     """Changed laws (law_name) with each law they touch and its newest version."""
     linked = changed.withColumn("linked", F.explode(x.lookup_list(F.col("law_name"), x.CROSS_LAW)))

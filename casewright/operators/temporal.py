@@ -137,3 +137,17 @@ def deadlines(cases: DataFrame, notice: str, as_of: str, days: int = 90) -> Data
     day = F.lit(as_of).cast("date")
     due = F.date_add(notice, days)
     return cases.withColumn("deadline", due).withColumn("elapsed", F.datediff(day, notice)).withColumn("overdue", due < day).withColumn("left", F.greatest(F.datediff(due, day), F.lit(0)))
+
+
+def route_versions(cites: DataFrame, snapshots: DataFrame, index: DataFrame) -> DataFrame:
+    """Citations of prior versions with a promulgation number: version, route (snapshot, index or model).
+
+    cites: is_prior_version, promulgation_no, family, law and keys; snapshots: family, promulgation_no, version; index:
+    law, promulgation_no, version. A family's snapshot comes first, then the local index; what neither has is for a model.
+    """
+    c = cites.filter(F.col("is_prior_version") & F.col("promulgation_no").isNotNull())
+    s = snapshots.select("family", "promulgation_no", F.col("version").alias("_s"))
+    i = index.select("law", "promulgation_no", F.col("version").alias("_i"))
+    j = c.join(s, ["family", "promulgation_no"], "left").join(i, ["law", "promulgation_no"], "left")
+    route = F.when(F.col("_s").isNotNull(), "snapshot").when(F.col("_i").isNotNull(), "index").otherwise("model")
+    return j.withColumns({"version": F.coalesce("_s", "_i"), "route": route}).drop("_s", "_i")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graphs, merges, segments, statistics, streams, temporal, texts, vectors  # noqa: F401  they register their queries
+from . import graphs, merges, reports, segments, statistics, streams, temporal, texts, vectors  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

@@ -16,10 +16,10 @@ def enrich_left_merge(spark, sf_dir):
     return m.enrich(o, tags, ["o_orderkey"], {"refs": 0, "top_flag": "none"})
 
 
-@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')[1:3]) AS w, generate_subscripts(string_split(text, ' ')[1:3], 1) AS i FROM conversations),
-f AS (SELECT conv_id, w, min(turn * 10 + i) AS p FROM w GROUP BY ALL) SELECT conv_id, string_agg(w, '|' ORDER BY p) AS words FROM f GROUP BY 1""")
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM conversations),
+f AS (SELECT conv_id, w, min(turn * 10000000 + i) AS p FROM w GROUP BY ALL) SELECT conv_id, string_agg(w, '|' ORDER BY p) AS words FROM f GROUP BY 1""")
 def group_merge_lists(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.slice(F.split("text", " "), 1, 3).alias("words"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"))
     return m.merge_lists(c, ["conv_id"], ["turn"], ["words"]).withColumn("words", F.array_join("words", "|"))
 
 

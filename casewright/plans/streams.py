@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from casewright.sources.shared import shared_dir
 from casewright.streaming import ingest
 
 from .registry import query, table
 
 
 def _home(spark) -> str:
-    """A folder in the shared checkpoint folder; a temporary one where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file://' + tempfile.mkdtemp(prefix='casewright-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1")

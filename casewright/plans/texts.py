@@ -25,12 +25,12 @@ def citation_parse(spark, sf_dir):
     return p.groupBy("law", "article_id", "paragraph").agg(F.count("*").alias("n"))
 
 
-_CASES = "SELECT doc_id, substring(text, 1, 80) || ' 대법원 ' || (2000 + doc_id % 25) || '두' || doc_id || ' 그리고 조심 2022서' || (doc_id % 50) || ', ' || (2000 + doc_id % 25) || '두' || doc_id AS t FROM documents"
+_CASES = "SELECT doc_id, text || ' 대법원 ' || (2000 + doc_id % 25) || '두' || doc_id || ' 그리고 조심 2022서' || (doc_id % 50) || ', ' || (2000 + doc_id % 25) || '두' || doc_id AS t FROM documents"
 
 
 def _case_texts(spark, sf_dir):
     d, no = table(spark, sf_dir, "documents"), F.concat((F.lit(2000) + F.col("doc_id") % 25).cast("string"), F.lit("두"), "doc_id")
-    t = F.concat(F.substring("text", 1, 80), F.lit(" 대법원 "), no, F.lit(" 그리고 조심 2022서"), F.col("doc_id") % 50, F.lit(", "), no)
+    t = F.concat("text", F.lit(" 대법원 "), no, F.lit(" 그리고 조심 2022서"), F.col("doc_id") % 50, F.lit(", "), no)
     return d.select("doc_id", t.alias("t"))
 
 
@@ -88,16 +88,16 @@ def doc_text_build(spark, sf_dir):
     return d.select("doc_id", doc.alias("doc"))
 
 
-@query("""SELECT p_partkey, 'ART_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_' || (p_partkey % 5 + 1) ELSE '' END AS article_id,
-row_number() OVER (ORDER BY p_size, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 + 1 ELSE 0 END, p_partkey)::INTEGER AS pos FROM part WHERE p_size IN (1, 10)""")
+@query("""SELECT p_partkey, 'ART_' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_' || (p_partkey % 5 + 1) ELSE '' END AS article_id, p_size = 1 AS of_first,
+row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 + 1 ELSE 0 END, p_partkey)::INTEGER AS pos FROM part""")
 def natural_sort_match(spark, sf_dir):
     from pyspark.sql import Window
 
     raw = F.concat("p_size", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" 의 "), F.col("p_partkey") % 5 + 1)).otherwise("조"))
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("ART_"), x.article_input(raw)).alias("article_id"))
-    p = p.filter(x.article_matches(F.col("article_id"), F.lit("ART_1")) | x.article_matches(F.col("article_id"), F.lit("ART_10")))
-    # two articles and their sub-articles: a bounded answer, numbered as a whole
-    return p.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*x.natural_order(F.col("article_id")), "p_partkey")))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.concat(F.lit("ART_"), x.article_input(raw)).alias("article_id"))
+    p = p.withColumn("of_first", x.article_matches(F.col("article_id"), F.lit("ART_1")))
+    place = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy(*x.natural_order(F.col("article_id")), "p_partkey"))
+    return p.withColumn("pos", place).drop("p_brand", "p_type")
 
 
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '국패' WHEN 'P' THEN '일부국패' ELSE '국승' END AS decision, o_orderstatus <> 'O' AS win FROM orders""")

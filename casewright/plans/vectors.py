@@ -56,11 +56,11 @@ def vector_relax_filter(spark, sf_dir):
     return v.top_k_relaxed(e, q, 10, "vec_id", "embedding", {"label": 77}).select("vec_id", "label", "similarity", "relaxed")
 
 
-@query("""WITH p AS (SELECT l.vec_id % 50 AS case_id, l.vec_id AS core, r.vec_id AS logic, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score
-FROM embeddings l JOIN embeddings r ON l.vec_id % 50 = r.vec_id % 50 WHERE l.vec_id % 3 = 0 AND r.vec_id % 3 <> 0)
+@query("""WITH p AS (SELECT l.vec_id // 50 AS case_id, l.vec_id AS core, r.vec_id AS logic, round(list_cosine_similarity(l.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score
+FROM embeddings l JOIN embeddings r ON l.vec_id // 50 = r.vec_id // 50 WHERE l.vec_id % 3 = 0 AND r.vec_id % 3 <> 0)
 SELECT case_id, core AS vec_id, logic AS matched_vec_id, score FROM p QUALIFY row_number() OVER (PARTITION BY core ORDER BY score DESC, logic) = 1""")
 def nearest_match_join(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").withColumn("case_id", F.col("vec_id") % 50)
+    e = table(spark, sf_dir, "embeddings").withColumn("case_id", F.floor(F.col("vec_id") / 50))
     return v.nearest_match(e.filter("vec_id % 3 = 0"), e.filter("vec_id % 3 <> 0"), "case_id", "vec_id", "vec_id", "embedding")
 
 
