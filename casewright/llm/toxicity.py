@@ -1,7 +1,8 @@
-"""Toxicity: a weighted grammar of composed transducers scores clauses; labels give its lexicon and its calibration."""
+"""Toxicity: a grammar of composed transducers marks matches in clauses; labels give its lexicon and the matches' weights."""
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -23,46 +24,69 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 STEMS = (4, 5, 6)
 
 
+#: A symbol is a class and what is known of it: class + CLASSES * flags.
+CLASSES = 7
+AIMED, DENIED, TOLD = 1, 2, 4
+SYMBOLS = CLASSES * 8
+
+
 class Transducer:
-    """A finite machine over symbol classes: step[state][symbol] = (next state, output). State 0 is the start."""
+    """A finite machine from symbols to symbols: step[state][symbol] = (next state, output). State 0 is the start."""
 
     def __init__(self, step: list[list[tuple[int, int]]]):
         self.step = step
 
-    def __mul__(self, other: Transducer) -> Transducer:
-        """Both side by side on one input; outputs are combined as bits."""
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this machine outputs is what the other reads."""
         n = len(other.step)
-        return Transducer([[(p * n + q, a | b) for (p, a), (q, b) in zip(x, y, strict=True)] for x in self.step for y in other.step])
+        composed = []
+        for row in self.step:
+            for q in range(n):
+                composed.append([(p * n + other.step[q][o][0], other.step[q][o][1]) for p, o in row])
+        return Transducer(composed)
+
+    def run(self, symbols: list[int]) -> list[int]:
+        state, out, step = 0, [], self.step
+        for s in symbols:
+            state, o = step[state][s]
+            out.append(o)
+        return out
+
 
+def _flagged(symbol: int, flag: int) -> int:
+    """An insult or threat with the flag; any other symbol as it is."""
+    kind, flags = symbol % CLASSES, symbol // CLASSES
+    return kind + CLASSES * (flags | flag) if kind in (INSULT, THREAT) else symbol
 
-def within(mark: int, reach: int, bit: int) -> Transducer:
-    """Outputs bit on every symbol that stands at most ``reach`` symbols after ``mark`` in the same clause."""
+
+def within(mark: int, reach: int, flag: int) -> Transducer:
+    """Flags the insults and threats that stand at most ``reach`` symbols after ``mark`` in the same clause."""
     steps = []
     for left in range(reach + 1):
         row = []
-        for s in range(7):
-            row.append((reach, 0) if s == mark else (0, 0) if s == END else (max(0, left - 1), bit if left else 0))
+        for s in range(SYMBOLS):
+            kind = s % CLASSES
+            row.append((reach, s) if kind == mark else (0, s) if kind == END else (max(0, left - 1), _flagged(s, flag) if left else s))
         steps.append(row)
     return Transducer(steps)
 
 
-def since(mark: int, bit: int) -> Transducer:
-    """Outputs bit on every symbol after ``mark`` in the same clause."""
-    return Transducer([[(1, 0) if s == mark else (0, 0) if s == END else (seen, bit if seen else 0) for s in range(7)] for seen in (0, 1)])
-
-
-def on(mark: int, bit: int) -> Transducer:
-    """Outputs bit on the mark itself."""
-    return Transducer([[(0, bit if s == mark else 0) for s in range(7)]])
+def since(mark: int, flag: int) -> Transducer:
+    """Flags the insults and threats after ``mark`` in the same clause."""
+    return Transducer([[(1, s) if s % CLASSES == mark else (0, s) if s % CLASSES == END else (seen, _flagged(s, flag) if seen else s) for s in range(SYMBOLS)] for seen in (0, 1)])
 
 
-HIT, MENACE, AIMED, DENIED, TOLD = 1, 2, 4, 8, 16
-GRAMMAR = on(INSULT, HIT) * on(THREAT, MENACE) * within(TARGET, 4, AIMED) * within(NEGATION, 2, DENIED) * within(REPORT, 5, TOLD)
-#: Read from the right: who is aimed at often follows ("kill you").
+#: Negation, then reported speech, then a target before the match, each reading what the one before wrote.
+GRAMMAR = within(NEGATION, 2, DENIED).then(within(REPORT, 5, TOLD)).then(within(TARGET, 4, AIMED))
+#: Runs first, from the right: who is aimed at often follows ("kill you").
 FROM_RIGHT = since(TARGET, AIMED)
-#: What a match counts, by what holds around it.
-AIMED_X, DENIED_X, TOLD_X, MENACE_W = 1.25, 0.5, 0.6, 1.0
-FEATURES = 6
+MENACE_W = 1.0
+#: The kinds of matches whose weights the calibration learns, by class and flags.
+PLAIN, AT, NOT, SAID, BOTH, MENACE, SOFT_MENACE = range(7)
+ARC = {INSULT + CLASSES * f: (BOTH if f & DENIED and f & TOLD else NOT if f & DENIED else SAID if f & TOLD else AT if f & AIMED else PLAIN) for f in range(8)}
+# a threat counts only with whom it is aimed at
+ARC |= {THREAT + CLASSES * f: SOFT_MENACE if f & (DENIED | TOLD) else MENACE for f in range(8) if f & AIMED}
+FEATURES = 11
 
 
 class Lexicon(dict):
@@ -83,35 +107,28 @@ class Lexicon(dict):
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Of a whole text: the clauses' scores as best, sum, number, and density, and what was denied or reported."""
+    """Of a whole text: what its matches of each kind weigh, and its clauses as best, number, density and whether there are any."""
     tokens = TOKEN.findall((text or "").lower())
     symbols = list(map(lexicon.__getitem__, tokens))
     if not any(s is not None and s[0] <= THREAT for s in symbols):
         return [0.0] * FEATURES
-    later, state, step = [], 0, FROM_RIGHT.step
-    for s in reversed(symbols):
-        state, out = step[state][s[0] if s else OTHER]
-        later.append(out)
-    state, clause, scores, soft, words = 0, 0.0, [], 0.0, 0
-    step = GRAMMAR.step
-    for s, follows in zip(symbols, reversed(later), strict=True):
-        kind, weight = s or (OTHER, 0.0)
+    kinds = [s[0] if s else OTHER for s in symbols]
+    kinds = GRAMMAR.run(FROM_RIGHT.run(kinds[::-1])[::-1])
+    arcs, clause, scores, words = [0.0] * 7, 0.0, [], 0
+    for s, kind in zip(symbols, kinds, strict=True):
         words += kind != END
-        state, out = step[state][kind]
-        out |= follows
-        if out & (HIT | MENACE):
-            value = weight * (AIMED_X if out & AIMED else 1) * (DENIED_X if out & DENIED else 1) * (TOLD_X if out & TOLD else 1)
-            soft += value if out & (DENIED | TOLD) else 0
-            # a threat counts only with whom it is aimed at
-            clause += value if out & HIT or out & AIMED else 0
+        arc = ARC.get(kind)
+        if arc is not None:
+            arcs[arc] += s[1]
+            clause += s[1] if arc in (PLAIN, AT, MENACE) else 0
         elif kind == END and clause:
             scores.append(clause)
             clause = 0.0
     if clause:
         scores.append(clause)
-    if not scores:
+    if not any(arcs):
         return [0.0] * FEATURES
-    return [max(scores), float(np.log1p(sum(scores))), float(np.log1p(len(scores))), sum(scores) / np.sqrt(words + 1.0), float(np.log1p(soft)), 1.0]
+    return [*map(math.log1p, arcs), max(scores, default=0.0), math.log1p(len(scores)), sum(scores) / math.sqrt(words + 1.0), 1.0]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -130,7 +147,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 #: Used where the labels do not hold both classes.
-DEFAULT = np.array([0.5, 1.0, 0.5, 0.5, -0.2, 0.5, -4.0])
+DEFAULT = np.array([0.8, 1.2, -0.2, 0.2, -0.2, 1.5, 0.3, 0.5, 0.5, 0.5, 0.5, -4.0])
 
 
 def held_out(doc_id) -> F.Column:

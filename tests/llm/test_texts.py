@@ -1,6 +1,7 @@
 """Toxicity, licence scans, personal data and URL filters against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -143,24 +144,76 @@ def test_luhn_column(spark):
 # ---- toxicity
 
 
-def test_composed_transducers():
-    lex = toxicity.Lexicon({"idiot": 2.0}, {})
-    f = lambda t: toxicity.features(t, lex)[0]
-    assert f("the idiot ran") == 2.0
-    assert f("you idiot") == 2.0 * toxicity.AIMED_X
-    assert f("not idiot") == 2.0 * toxicity.DENIED_X
-    assert f("the said idiot") == 2.0 * toxicity.TOLD_X
-    assert f("you. Idiot") == 2.0
-    assert f("you kill") == toxicity.MENACE_W * toxicity.AIMED_X
-    assert f("kill") == f("") == f(None) == f(" . ! ") == 0.0
+def arcs(text):
+    """Which kinds of matches a text has, and what they weigh."""
+    x = toxicity.features(text, toxicity.Lexicon({"idiot": 2.0}, {}))
+    return {k: round(math.expm1(v), 9) for k, v in enumerate(x[:7]) if v}
+
+
+def test_marks_of_the_grammar():
+    t = toxicity
+    assert arcs("the idiot ran") == {t.PLAIN: 2.0} and arcs("you. Idiot") == {t.PLAIN: 2.0}
+    assert arcs("you idiot") == {t.AT: 2.0} and arcs("not idiot") == {t.NOT: 2.0} and arcs("the said idiot") == {t.SAID: 2.0}
+    assert arcs("never said an idiot") == {t.SAID: 2.0} and arcs("said not an idiot") == {t.BOTH: 2.0}
+    assert arcs("you kill") == {t.MENACE: t.MENACE_W} and arcs("do not kill you") == {t.SOFT_MENACE: t.MENACE_W}
+    assert arcs("you idiot. The idiot, not an idiot") == {t.AT: 2.0, t.PLAIN: 2.0, t.NOT: 2.0}
+    assert t.features("kill", t.Lexicon({}, {})) == t.features(None, t.Lexicon({}, {})) == [0.0] * t.FEATURES
+
+
+def test_composition_runs_one_machine_on_the_output_of_the_other():
+    t, rng = toxicity, random.Random(2)
+    machines = [t.within(t.NEGATION, 2, t.DENIED), t.within(t.REPORT, 5, t.TOLD), t.since(t.TARGET, t.AIMED), t.within(t.TARGET, 1, t.AIMED)]
+    for _ in range(200):
+        one, two, three = (rng.choice(machines) for _ in range(3))
+        symbols = [rng.randrange(t.SYMBOLS) for _ in range(30)]
+        assert one.then(two).then(three).run(symbols) == three.run(two.run(one.run(symbols)))
 
 
 @pytest.mark.parametrize("text", ["I will kill you", "hurt him", "destroy them all", "ich werde dich töten", "wir töten dich", "je vais tuer toi", "frapper vous", "voy a matar a usted", "kill every single last one of you"])
 def test_targets_after_a_threat(text):
-    f = lambda t: toxicity.features(t, toxicity.Lexicon({"idiot": 2.0}, {}))[0]
-    assert f(text) == toxicity.MENACE_W * toxicity.AIMED_X
-    assert f("idiot, you") == f("you idiot") == 2.0 * toxicity.AIMED_X
-    assert f("to kill. You") == f("kill the process") == 0.0
+    assert arcs(text) == {toxicity.MENACE: toxicity.MENACE_W}
+    assert arcs("idiot, you") == arcs("you idiot") == {toxicity.AT: 2.0}
+    assert arcs("to kill. You") == arcs("kill the process") == {}
+
+
+def plain_features(text, lex):
+    """The grammar read by looking around each match, without machines."""
+    clauses, now = [], []
+    for tok in toxicity.TOKEN.findall((text or "").lower()):
+        s = lex[tok]
+        if s and s[0] == toxicity.END:
+            clauses.append(now)
+            now = []
+        else:
+            now.append(s or (toxicity.OTHER, 0.0))
+    clauses.append(now)
+    sums, scores, words = [0.0] * 7, [], 0
+    for c in clauses:
+        words, score = words + len(c), 0.0
+        for i, (kind, w) in enumerate(c):
+            near = lambda mark, reach: any(k == mark for k, _ in c[max(0, i - reach) : i])  # noqa: E731, B023
+            aimed = near(toxicity.TARGET, 4) or any(k == toxicity.TARGET for k, _ in c[i + 1 :])
+            denied, told = near(toxicity.NEGATION, 2), near(toxicity.REPORT, 5)
+            if kind == toxicity.INSULT:
+                arc = 4 if denied and told else 2 if denied else 3 if told else 1 if aimed else 0
+            elif kind == toxicity.THREAT and aimed:
+                arc = 6 if denied or told else 5
+            else:
+                continue
+            sums[arc] += w
+            score += w if arc in (0, 1, 5) else 0
+        if score:
+            scores.append(score)
+    return [*map(math.log1p, sums), max(scores, default=0.0), math.log1p(len(scores)), sum(scores) / math.sqrt(words + 1), 1.0] if any(sums) else [0.0] * toxicity.FEATURES
+
+
+def test_features_equal_a_plain_reading():
+    rng = random.Random(4)
+    vocabulary = ["idiot", "you", "not", "said", "kill", "house", "the", ".", "moron", "dich", "nicht", "töten"]
+    lex = toxicity.Lexicon({"idiot": 2.0, "moron": 1.5}, {"idio": 0.5})
+    for _ in range(400):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40)))
+        assert toxicity.features(text, lex) == pytest.approx(plain_features(text, lex))
 
 
 def test_held_out_documents_are_told_apart(spark):
