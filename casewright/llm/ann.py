@@ -92,7 +92,7 @@ def usable(df: DataFrame) -> DataFrame:
     return df.select("vec_id", v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(good)
 
 
-def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 320, sample: int = 16_384, lots: int = 16) -> DataFrame:
+def search(df: DataFrame, every: int = 100, k: int = 10, wide: int = 320, sample: int = 16_384, lots: int = 4) -> DataFrame:
     """The k rows found nearest to each row whose vec_id is a multiple of ``every``: query_id, rank, vec_id, score.
 
     Codebooks are fitted on the driver to at most ``sample`` rows, the first by a hash of vec_id. All rows are encoded:
