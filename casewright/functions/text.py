@@ -24,7 +24,7 @@ END_TRIGGERS = ["주문과 같이", "주문과 같 다", "판결한다", "판결
 CROSS_BORDER = ["이전가격", "국제조세", "정상가격", "이전가", "BEPS", "필라", "pillar", "CFC", "과세가격", "국조법", "독립기업", "국외특수관계", "조세조약", "정상이자율", "정상임대료", "정상로열티", "비교가능", "정상가액", "국제거래", "조세피난처", "혼성불일치", "무형자산 이전", "세원잠식"]
 # What users call a decision or tax, and what the collection of court decisions stores.
 DECISIONS = {"국승": "국승", "국가승소": "국승", "납세자패소": "국승", "국패": "국패", "국가패소": "국패", "납세자승소": "국패", "일부국패": "일부국패", "일부승소": "일부국패", "각하": "각하", "기각": "기각"}
-TAXES = {"법인": "법인세", "소득세": "종합소득세", "종합소득": "종합소득세", "양도": "양도소득세", "부가세": "부가가치세", "부가": "부가가치세", "상속세": "상속증여세", "증여세": "상속증여세", "상속증여": "상속증여세", "종부세": "종합부동산세", "징수": "국세징수", "국기법": "국세기본", "이전가격": "국제조세"}
+TAXES = {"법인세": "법인세", "법인": "법인세", "소득세": "종합소득세", "종합소득세": "종합소득세", "종합소득": "종합소득세", "양도소득세": "양도소득세", "양도": "양도소득세", "부가가치세": "부가가치세", "부가세": "부가가치세", "부가": "부가가치세", "상속세": "상속증여세", "증여세": "상속증여세", "상속증여": "상속증여세", "종합부동산세": "종합부동산세", "종부세": "종합부동산세", "국세징수": "국세징수", "징수": "국세징수", "국세기본": "국세기본", "국기법": "국세기본", "국제조세": "국제조세", "이전가격": "국제조세"}
 #: One vocabulary of wins for every query: (collection, label).
 WINS = {"court": ["국패", "일부국패", "일부국승"], "tribunal": ["취소", "경정", "인용"]}
 # Laws whose changes touch others; preferred transfer-pricing methods by transaction.
@@ -54,6 +54,22 @@ def any_of(c: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w.lower()) for w in words])
 
 
+def ends_judgment(c: Column) -> Column:
+    """Whether a sentence holds words that end a judgment, as they are written; false for null."""
+    text = F.coalesce(c, F.lit(""))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in END_TRIGGERS])
+
+
+def preferred_methods(kind: Column) -> Column:
+    """Transfer-pricing methods for a kind of transaction, the first to be tried first; those for other kinds where it is none of the known ones."""
+    return F.coalesce(lookup_list(kind, METHODS), F.array(*map(F.lit, METHODS["기타"])))
+
+
+def large_transaction(amount: Column) -> Column:
+    """Whether an amount (in won) is so large that an advance agreement is considered."""
+    return amount >= LARGE_TRANSACTION
+
+
 def is_win(collection: str, label: Column) -> Column:
     """Whether a label, exactly, is a win in its collection."""
     return label.isin(WINS[collection])
@@ -166,9 +182,9 @@ def law_name(target: Column) -> Column:
 
 
 def law_in_question(question: Column, names: list[str]) -> Column:
-    """The longest known law name in a question; null without any."""
+    """The longest known law name in a question, with or without its blanks; null without any."""
     ordered = sorted(names, key=lambda n: (-len(n), n))
-    return reduce(lambda w, n: w.when(question.contains(n), n), ordered, F.when(F.lit(False), ""))
+    return reduce(lambda w, n: w.when(question.contains(n) | question.contains(n.replace(" ", "")), n), ordered, F.when(F.lit(False), ""))
 
 
 def strip_enumerator(c: Column) -> Column:

@@ -73,6 +73,17 @@ def resolve_references(refs: DataFrame, versions: DataFrame, all_units: DataFram
     return out.select("id", "law_name", "article_id", F.col("version_no").alias("version_key"), "fallback", "level", "text", reason.alias("reason"))
 
 
+def unresolved(targets: DataFrame, versions: DataFrame, laws: DataFrame) -> DataFrame:
+    """Targets without a resolved version: target, law_id, version_key, effective, law_name.
+
+    targets: target, law_id, version_key (DAY_NUMBER), resolved_version_key; versions: law_id, version_key, effective;
+    laws: law_id, law_name. Neither a version nor a law need be there; without a version the key's own day stands.
+    """
+    left = targets.filter("resolved_version_key is null").drop("resolved_version_key")
+    found = left.join(versions.select("law_id", "version_key", "effective"), ["law_id", "version_key"], "left").join(laws, "law_id", "left")
+    return found.withColumn("effective", F.coalesce("effective", F.split("version_key", "_")[0]))
+
+
 def current_addenda(addenda: DataFrame, laws: DataFrame) -> DataFrame:
     """The units (exploded) of the addenda that belong to a law's current promulgation number, leading zeros apart.
 
@@ -117,9 +128,14 @@ def number_of_annexes(annexes: DataFrame) -> DataFrame:
 
 
 def ranked_article(units_: DataFrame, number: str) -> DataFrame:
-    """The text of an article by its number: a unit whose heading starts with it before one that merely has the number."""
-    wanted = F.lit(number)
-    rank = F.when(F.col("text").startswith(F.concat(F.lit("제"), wanted, F.lit("조"))), 1).when(F.col("article_id") == F.concat(F.lit("ART_"), wanted), 2)
-    r = units_.withColumn("_k", rank).filter("_k is not null")
+    """The text of an article by its number (12, 12의2, 제12조의2), one row a law.
+
+    A unit whose heading begins with the number and a bracket comes before one that merely has the number; the latter
+    counts only for a number without sub-number, and not if its heading names one.
+    """
+    base, _, sub = number.strip().removeprefix("제").replace("조", "").partition("의")
+    heading = F.col("text").startswith(f"제{base}조{'의' + sub if sub else ''}(")
+    plain = F.lit(not sub) & (F.col("article_id") == f"ART_{base}") & ~F.col("text").rlike(r"^제\d+조의\d+")
+    r = units_.withColumn("_k", F.when(heading, 1).when(plain, 2)).filter("_k is not null")
     w = Window.partitionBy("law_id").orderBy("_k", "article_id", "level")
     return r.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_k", "_r")

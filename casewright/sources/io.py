@@ -84,6 +84,11 @@ def artifacts(files: DataFrame, group: Column, marks: dict[str, str]) -> DataFra
     return files.groupBy(group.alias("group")).agg(*[F.coalesce(F.max(F.col("path").rlike(p)), F.lit(False)).alias(n) for n, p in marks.items()])
 
 
+def sections(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Rows whose key begins so, in the order of the key."""
+    return df.filter(F.col(key).startswith(prefix)).orderBy(key)
+
+
 def stage_rows(stages: DataFrame, stage: str) -> DataFrame:
     """case_id, body of one stage, the newest of each case."""
     last = F.max(F.struct("updated_at", "body")).alias("m")

@@ -16,9 +16,9 @@ def new_rows(spark: SparkSession, path: str, schema: T.StructType, key: str, at:
     return rows.dropDuplicates([key])
 
 
-def run_available(rows: DataFrame, sink, checkpoint: str) -> int:
+def run_available(rows: DataFrame, sink, checkpoint: str, mode: str = "append") -> int:
     """Processes what is there and stops; ``sink`` gets (batch, number) and must bear being called again for a number."""
-    q = rows.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+    q = rows.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
     q.awaitTermination()
     return q.lastProgress["batchId"] + 1 if q.lastProgress else 0
 
@@ -39,6 +39,13 @@ def read_table(spark: SparkSession, table: str, schema: T.StructType, key: str)
     return rows.join(first, (F.col(key) == F.col("_k")) & (F.col("batch") == F.col("_b"))).drop("_k", "_b", "batch")
 
 
+def latest_rows(spark: SparkSession, table: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """What the batches left, each key as the latest batch that has it."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).parquet(table)
+    values = [c for c in schema.fieldNames() if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, "_v.*")
+
+
 def windowed_counts(rows: DataFrame, at: str, kind: str, window: str = "1 day", delay: str = "2 days") -> DataFrame:
     """start, kind, n in event-time windows; works on streams and tables alike."""
     return rows.withWatermark(at, delay).groupBy(F.window(at, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")

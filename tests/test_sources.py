@@ -87,7 +87,7 @@ def test_statutes_flatten_with_inherited_domains(spark):
     u = statute.units(a)
     assert sorted((r.article_id, r.level, r.text) for r in u.collect()) == [("ART_1", "ARTICLE", "t1\nx"), ("ART_1", "ITEM", "i1"), ("ART_1", "PARAGRAPH", "p1"), ("ART_1", "SUBITEM", "s1"), ("ART_2", "ARTICLE", "t2\ny")]
     assert statute.chapter_texts(a, u).first().text == "[CHAPTER] CH_1\nt1\nx\np1\ni1\ns1\nt2\ny"
-    assert statute.ranked_article(u.withColumn("text", F.concat(F.lit("제1조 "), "text")), "1").first().article_id in ("ART_1", "ART_2")
+    assert statute.ranked_article(u.withColumn("text", F.concat(F.lit("제1조("), "text")), "1").first().article_id in ("ART_1", "ART_2")
 
 
 def test_headings_carry_and_laws_without_chapters(spark):
@@ -146,3 +146,21 @@ def test_stream_ingests_each_key_once_and_restarts(spark, tmp_path):
     spark.createDataFrame([(2, "again"), (3, "c")], s).write.mode("append").parquet(f"{tmp_path}/in")
     run()
     assert sorted((r.k, r.v) for r in ingest.read_table(spark, f"{tmp_path}/out", s, "k").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_article_by_number_tells_sub_numbers_apart(spark):
+    u = spark.createDataFrame([("a", "ART_12", "1", "제12조의2(둘)"), ("a", "ART_12", "2", "제12조 삭제"), ("b", "ART_12", "1", "제12조(하나)"), ("b", "ART_12", "0", "제12조 삭제"), ("c", "ART_12", "1", "제12조의2(셋)")], "law_id string, article_id string, level string, text string")
+    got = lambda n: sorted((r.law_id, r.text) for r in statute.ranked_article(u, n).collect())
+    assert got("12") == got("제12조") == [("a", "제12조 삭제"), ("b", "제12조(하나)")]
+    assert got("12의2") == got("제12조의2") == [("a", "제12조의2(둘)"), ("c", "제12조의2(셋)")]
+
+
+def test_late_rows_do_not_reopen_a_window(spark, tmp_path):
+    day = lambda d: f"2024-01-{d:02d} 12:00:00"
+    schema = "at timestamp, kind string"
+    for days in ((1, 1, 9), (20,), (1, 21)):
+        spark.createDataFrame([(day(d), "a") for d in days], "at string, kind string").select(F.col("at").cast("timestamp").alias("at"), "kind").write.mode("append").parquet(f"{tmp_path}/in")
+        counts = ingest.windowed_counts(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "at", "kind")
+        ingest.run_available(counts, ingest.into_table(f"{tmp_path}/out", "start"), f"{tmp_path}/state", mode="update")
+    out = ingest.latest_rows(spark, f"{tmp_path}/out", counts.schema, ["start", "kind"])
+    assert sorted((r.start.day, r.n) for r in out.collect()) == [(1, 2), (9, 1), (20, 1), (21, 1)]
