@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: Words of every contract: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _OWN: list[str] = []
+_NOTED: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +33,39 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    note(path)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_path = path
     return back
 
 
+def note(path: str) -> None:
+    """Names a folder that scratch() deletes."""
+    for paths in _NOTED[-1:]:
+        paths.append(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, what was staged within it. Results that were read from there must be written by then."""
+    _NOTED.append([])
+    try:
+        yield
+    finally:
+        for path in _NOTED.pop():
+            _delete(spark, path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes staged tables that no later plan reads."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.staged_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def of_files(df: DataFrame) -> bool:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, of_files, shared_dir, stage
+from .common import keyed, note, of_files, shared_dir, stage
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -35,6 +35,7 @@ def stream_groups(digests: DataFrame, bodies: DataFrame, files_per_trigger: int
     """
     spark = digests.sparkSession
     home = f"{shared_dir(spark)}/dedup-stream-{uuid.uuid4().hex}"
+    note(home)
     own = spark.newSession()
     for k, v in (_STORE | {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions")}).items():
         own.conf.set(k, v)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop, keyed, mix, stage, text_slices, word_hashes
@@ -240,9 +240,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     of those one by its place in the input.
     """
     rows = keyed(docs, "near-rows")
-    files = sorted(r[0] for r in rows.select("__file").distinct().collect())
-    # one row for each file of the input
-    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "__number long, __file string"))
+    # a row for each file of the input; Spark broadcasts the table only while it is small
+    numbers = stage(rows.select("__file").distinct().select("__file", (F.row_number().over(Window.orderBy("__file")) - 1).cast("long").alias("__number")), "near-files")
     rows = rows.join(numbers, "__file").select("doc", (F.shiftleft("__number", 40) + F.col("__row")).alias("__n"))
     groups = near_groups(rows.select(F.col("__n").alias("doc_id"), F.col("doc.text").alias("text")), width=5, percent=80).select(F.col("doc_id").alias("__n"), "component_id")
     of = F.col("doc.doc_id")

@@ -69,7 +69,8 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: in
 def judge(pages: DataFrame, rules=RULES, margin: float = 1.0) -> DataFrame:
     """Every page: page_id, host, path, rule, verdict, trust, distrust.
 
-    Seeds are the hosts of pages that rules allow or block, each with its number of such pages. Trust follows links from
+    Seeds are the hosts of pages that rules allow or block, each with its number of such pages, so a host with pages of
+    both kinds is judged by whether it holds more of all blocked or of all allowed pages. Trust follows links from
     trusted hosts; distrust runs against the links, from blocked hosts to those that link to them. Where no rule fits, a
     host is blocked if its distrust exceeds ``margin`` times its trust, and allowed otherwise, as are pages without a
     host or with no evidence. Null urls and html count as empty; repeated pages are judged each.

@@ -328,3 +328,21 @@ def test_stages_of_an_empty_table(spark, sf_dir):
 def test_near_stage_keeps_clean_documents(spark, sf_dir):
     rows = [(i, f"w{i} x{i} y{i} z{i} q{i} r{i}", "s") for i in range(20)] + [(50, None, "s"), (51, "", "s"), (None, "only one", "s")]
     assert near_dedup.near_dedup_stage(spark, frame(spark, rows), sf_dir).count() == len(rows)
+
+
+def test_scratch_deletes_what_was_staged_within(spark, tmp_path):
+    import os
+
+    from casewright.llm import common, exact_dedup
+
+    folder = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    with common.scratch(spark):
+        exact_dedup.exact_dedup_stage(spark, frame(spark, [(1, "a", "s"), (2, "a", "s")]), "").write.parquet(f"{tmp_path}/out")
+        assert set(os.listdir(folder)) - before
+    assert set(os.listdir(folder)) <= before
+    assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [2]
+    kept = common.stage(frame(spark, [(1, "a", "s")]), "kept")
+    with common.scratch(spark):
+        pass
+    assert kept.count() == 1
