@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from casewright.llm.common import shared_dir
+from casewright.llm.common import scratch, shared_dir
 
 STAGES = [
     ("toxicity", toxicity.toxicity_stage),
@@ -21,10 +21,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, writing each result as Parquet and reading it again."""
+    """Applies the stages to ``documents``, writing each result as Parquet and reading it again.
+
+    What a stage staged for itself is deleted once its result is written; the stages' results stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, step in STAGES:
-        step(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
+        with scratch(spark):
+            step(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
     return docs
