@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, exact_dedup, licences, mixing, near_dedup, packing, pii, substrings, toxicity, url_graph
+from . import ann, conversations, decontaminate, divergence, exact_dedup, licences, mixing, near_dedup, packing, pii, substrings, toxicity, url_graph
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_licences": licences.op8_licences,
         "op9_pii": pii.op9_pii,
         "op10_mixing": mixing.op10_mixing,
+        "op11_conversations": conversations.op11_conversations,
+        "op12_divergence": divergence.op12_divergence,
         "op13_decontaminate": decontaminate.op13_decontaminate,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql():
         "op3_exact_dedup": exact_dedup.ORACLE,
         "op8_licences": licences.oracle(),
         "op10_mixing": mixing.ORACLE,
+        "op12_divergence": divergence.ORACLE,
         "op13_decontaminate": decontaminate.ORACLE,
     }
