@@ -125,7 +125,8 @@ def audit(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total"))
     bands = terms.groupBy("lang", "band").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
     placed = terms.join(bands, ["lang", "band"]).withColumn("piece", F.pmod(F.xxhash64("term"), "pieces").cast("int"))
-    placed = placed.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "band", "piece").orderBy("term")) - 1).join(langs, "lang")
+    # a band may hold most of a language's terms, so what numbers them is dealt by the piece
+    placed = placed.repartition("lang", "band", "piece").withColumn("pos", F.row_number().over(Window.partitionBy("lang", "band", "piece").orderBy("term")) - 1).join(langs, "lang")
     placed = stage(placed.select("lang", "term", "band", "piece", "pos", share("total", "lang_total").alias("q")), "audit-places")
     kept = stage(counts.filter("term IS NOT NULL").join(placed, ["lang", "term"]).select("lang", "source", "term", "n", "band", "piece", "pos", "q"), "audit-kept")
 
