@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from itertools import chain
 
@@ -91,20 +92,32 @@ def valid_ids(df: DataFrame, columns: list[str]) -> DataFrame:
     return ids.select(canonical_id(F.col("id")).alias("id")).distinct()
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, with c evaluated once for a row, however often f names it; written out, the optimiser would repeat it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def pieces(c: Column) -> Column:
+    """What stands between citations and the citations themselves, in turn: found by one search unless the text holds the mark itself."""
+    mark = "\u0001"
+    cut = F.split(F.regexp_replace(c, CASE_NUMBER, f"{mark}$0{mark}"), mark, -1)
+    zipped = F.arrays_zip(F.split(c, CASE_NUMBER, -1).alias("g"), F.regexp_extract_all(c, F.lit(CASE_NUMBER), F.lit(0)).alias("h"))
+    return F.when(c.contains(mark), F.flatten(F.transform(zipped, lambda z: F.filter(F.array(z["g"], z["h"]), lambda t: t.isNotNull())))).otherwise(cut)
+
+
 def guard(texts: DataFrame, key: str, text: str, valid: DataFrame, tag: str = "unverified") -> DataFrame:
     """Texts with every citation that is not valid marked **[tag: id]**, and the list of those: key, text, unverified.
 
     One pass from left to right over the text's pieces, so a marked citation is never marked again, and one that is part
-    of a longer one is not touched in it. Citations are checked by a join, not by a list on the driver.
+    of a longer one is not touched in it. Texts are searched and shuffled once; only citations are checked, by a join, not
+    by a list on the driver.
     """
-    numbered = texts.select(key, F.coalesce(text, F.lit("")).alias("_t"))
-    found = numbered.select(key, F.explode(cited(F.col("_t"))).alias("_c"))
+    cut = texts.select(key, pieces(F.coalesce(text, F.lit(""))).alias("_p")).repartition(key)
+    found = cut.select(key, F.explode(F.array_distinct(F.filter("_p", lambda _, i: i % 2 == 1))).alias("_c"))
     bad = found.join(valid, canonical_id(F.col("_c")) == valid["id"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("_c")).alias("_bad"))
-    d = numbered.join(bad, key, "left").withColumn("_bad", F.coalesce("_bad", F.array().cast("array<string>")))
-    gaps, hits = F.split("_t", CASE_NUMBER, -1), F.regexp_extract_all("_t", F.lit(CASE_NUMBER), F.lit(0))
-    d = d.withColumn("_z", F.arrays_zip(gaps.alias("g"), hits.alias("h")))
-    mark = lambda z: F.concat(z["g"], F.when(z["h"].isNull(), "").when(F.array_contains("_bad", z["h"]), F.concat(F.lit(f"**[{tag}: "), z["h"], F.lit("]**"))).otherwise(z["h"]))
-    return d.select(key, F.array_join(F.transform("_z", mark), "").alias(text), F.array_join("_bad", "|").alias("unverified"))
+    d = cut.join(bad, key, "left").withColumn("_bad", F.coalesce("_bad", F.array().cast("array<string>")))
+    told = lambda x, i: F.when((i % 2 == 1) & F.array_contains("_bad", x), F.concat(F.lit(f"**[{tag}: "), x, F.lit("]**"))).otherwise(x)
+    return d.select(key, F.array_join(F.transform("_p", told), "").alias(text), F.array_join("_bad", "|").alias("unverified"))
 
 
 def article_id(main: Column, sub: Column) -> Column:
@@ -113,10 +126,13 @@ def article_id(main: Column, sub: Column) -> Column:
 
 def parse_target(c: Column) -> Column:
     """law, article_id, paragraph, item, item_sub, sub_item of a citation; null where it is none. One search for all parts."""
-    parts = F.split(F.regexp_replace(F.trim(c), TARGET + r"(?s).*$", "\u0001".join(f"${i}" for i in range(1, 8))), "\u0001")
-    part = lambda i: blank_to_null(F.get(parts, F.lit(i - 1)))
-    fields = F.struct(part(1).alias("law"), article_id(part(2), part(3)).alias("article_id"), part(4).alias("paragraph"), part(5).alias("item"), part(6).alias("item_sub"), part(7).alias("sub_item"))
-    return F.when(F.size(parts) == 7, fields)
+
+    def fields(parts: Column) -> Column:
+        part = lambda i: blank_to_null(F.get(parts, F.lit(i - 1)))
+        named = F.struct(part(1).alias("law"), article_id(part(2), part(3)).alias("article_id"), part(4).alias("paragraph"), part(5).alias("item"), part(6).alias("item_sub"), part(7).alias("sub_item"))
+        return F.when(F.size(parts) == 7, named)
+
+    return once(F.split(F.regexp_replace(F.trim(c), TARGET + r"(?s).*$", "\u0001".join(f"${i}" for i in range(1, 8))), "\u0001"), fields)
 
 
 def internal_target(c: Column, citing_law: Column) -> Column:

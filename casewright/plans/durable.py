@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from casewright.operators import memo
+from casewright.sources import paged
 from casewright.sources.shared import shared_dir
 from casewright.sources.versioned import VersionedTable
 from casewright.streaming import ingest, polls
@@ -92,3 +95,41 @@ def complete_groups(spark, sf_dir):
     clock.write.mode("append").parquet(f"{home}/in")
     ingest.run_available(stream(), ingest.into_table(f"{home}/out", "group"), f"{home}/state")
     return spark.read.schema("group string, n long, status string").option("basePath", f"{home}/out").parquet(f"{home}/out").filter("`group` <> 'clock'").select("group", "n", "status")
+
+
+@query("""WITH k AS (SELECT doc_id, text, source AS keyword, 1 AS o FROM documents UNION ALL SELECT doc_id, text, lang, 2 FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY doc_id) - 1 AS r FROM k),
+w AS (SELECT DISTINCT keyword, o FROM k), n AS (SELECT keyword, row_number() OVER (ORDER BY o, keyword) AS no FROM w),
+q AS (SELECT doc_id, keyword, text, r // 100 + 1 + CASE WHEN r >= 100 THEN 2 ELSE 0 END AS page, no, row_number() OVER (PARTITION BY doc_id ORDER BY (r // 100 + CASE WHEN r >= 100 THEN 2 ELSE 0 END) // 4, no) AS first FROM p JOIN n USING (keyword) WHERE r < 900)
+SELECT doc_id, keyword, page::INTEGER AS page, sha256(text) AS digest FROM q WHERE first = 1""")
+def paged_collection(spark, sf_dir):
+    """Documents listed by source and by language in pages of 100: collected in runs of four pages a keyword until a run finds nothing.
+
+    Two empty pages follow each keyword's first one, and three lie before its 901st row, so collecting ends there.
+    """
+    home, d = _home(spark, "pages"), table(spark, sf_dir, "documents")
+    listed = d.select("doc_id", "text", F.explode(F.array(F.struct(F.col("source").alias("keyword"), F.lit(1).alias("o")), F.struct(F.col("lang").alias("keyword"), F.lit(2).alias("o")))).alias("k")).select("doc_id", "text", "k.*")
+    r = F.row_number().over(Window.partitionBy("keyword").orderBy("doc_id")) - 1
+    page = F.floor(r / 100) + 1 + F.when(r >= 100, 2).otherwise(0) + F.when(r >= 900, 3).otherwise(0)
+    listed.select("keyword", page.alias("page"), F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("body")).repartition("keyword", "page").write.partitionBy("keyword", "page").json(f"{home}/landing")
+    keywords = [x.keyword for x in listed.select("o", "keyword").distinct().orderBy("o", "keyword").collect()]
+    cases = VersionedTable.create(spark, f"{home}/cases", "id string, keyword string, page int, body string", ["id"], 16)
+    source = paged.paged_source("landing", paged.page_files(f"{home}/landing"))
+    while True:
+        rows = paged.collect(spark, source, keywords, cases, f"{home}/log", pages=4)
+        if rows.filter("status = 'item'").isEmpty():
+            break
+    return cases.read().select(F.col("id").cast("long").alias("doc_id"), "keyword", "page", F.col("body").alias("digest"))
+
+
+@query("""SELECT sha256(text) AS digest, len(text) || ':' || substring(text, 1, 20) AS answer, count(*) AS units, 1 AS calls FROM documents GROUP BY text""")
+def memoised_tags(spark, sf_dir):
+    """Tags of all documents in two runs over overlapping halves, by a stand-in for a model: each content is asked once."""
+    memo_ = memo.memo_table(spark, _home(spark, "memo"), 16)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tag = lambda t: f"{len(t)}:{t[:20]}"
+    memo.memoised(d.filter("doc_id % 3 <> 0"), "text", "tags", tag, memo_, "first")
+    answers = memo.memoised(d, "text", "tags", tag, memo_, "second")
+    calls = memo_.read().select(F.col("digest").alias("_d"), "calls")
+    told = answers.withColumn("_d", F.sha2(F.concat(F.lit("tags\u001f"), "text"), 256)).join(calls, "_d")
+    return told.groupBy(F.sha2("text", 256).alias("digest"), "answer", "calls").agg(F.count("*").alias("units")).select("digest", "answer", "units", "calls")

@@ -26,6 +26,26 @@ def test_guard_knows_hyphens_and_marks_once(spark):
     assert got[2] == ("", "")
 
 
+def test_pieces_alternate_even_around_the_mark_itself(spark):
+    for text, want in [("a 2020두1, 조심 2022서2", ["a ", "2020두1", ", ", "조심 2022서2", ""]), ("", [""]), ("\u0001 2020두1\u0001", ["\u0001 ", "2020두1", "\u0001"]), ("2020두1", ["", "2020두1", ""])]:
+        assert one(spark, text, x.pieces) == want
+
+
+def test_each_text_is_searched_once(spark):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    t = spark.createDataFrame([("소득세법 제1조", 1)], "s string, id int")
+    parsed = t.select(x.parse_target(F.col("s")).alias("p"), "id").select("p.law", "p.article_id", "p.item", "id")
+    assert plan(parsed).count("regexp_replace(") == 1
+    valid = spark.createDataFrame([("2020두1",)], "id string")
+    guarded = x.guard(spark.range(50).select("id", F.concat(F.lit("2020두"), "id").alias("s")), "id", "s", valid)
+    assert guarded.filter("unverified = ''").count() == 1
+    guarded.collect()
+    final = guarded._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in final.split("== Initial Plan ==")[0]
+
+
 def test_targets(spark):
     p = one(spark, "소득세법 시행령 제65조의2 제3항 제4호의5 가목", x.parse_target)
     assert p.asDict() == {"law": "소득세법 시행령", "article_id": "ART_65_2", "paragraph": "3", "item": "4", "item_sub": "5", "sub_item": "가"}
