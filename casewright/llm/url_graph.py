@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, stage
@@ -40,30 +40,40 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(F.col("url")).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """Personalised PageRank: host, rank. seeds: host, mass (any scale); edges: src, dst, share (of src's links, adding up to 1).
+def shares(edges: DataFrame, end: str, other: str, most: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """Links along which rank flows (src, part, dst, share of src's links), and the hosts (src, parts) of over ``most`` links, whose links are dealt into parts."""
+    of = edges.groupBy(F.col(end).alias("src")).agg(F.sum("n").alias("of"), F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    flow = edges.select(F.col(end).alias("src"), F.col(other).alias("dst"), "n").join(of, "src")
+    flow = stage(flow.select("src", F.pmod(F.xxhash64("dst"), "parts").cast("int").alias("part"), "dst", (F.col("n") / F.col("of")).alias("share")), "url-flow")
+    return flow, stage(of.filter("parts > 1").select("src", "parts"), "url-hubs")
 
-    Each round's ranks are written to the shared folder. What reaches hosts without links goes back to the seeds, by
-    setting the seeds' part to what the links did not carry. Ends when ranks move by less than ``tolerance`` in all.
+
+def spread(seeds: DataFrame, flow: DataFrame, hubs: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+    """Personalised PageRank: host, rank. seeds: host, mass (any scale); flow and hubs: see shares().
+
+    What the seeds send is followed link by link: each round carries on what the last one brought, ``damping`` times, and
+    is written to the shared folder, until less than ``tolerance`` of the seeds' mass is on its way (about 85 rounds where
+    every host has links). The ranks are all that was brought, scaled to 1: what reaches hosts without links goes back to
+    the seeds. Only hosts that something reaches take part in a round, and a hub sends to each part of its links.
     """
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("rank"))
-    seeds = seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("mass"))
-    rank = stage(seeds.select("host", F.col("mass").alias("rank")), "url-rank")
-    if edges.isEmpty():
-        return rank
-    for _ in range(rounds):
-        sent = stage(rank.join(edges, rank["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("got")), "url-sent")
-        carried = sent.agg(F.coalesce(F.sum("got"), F.lit(0.0))).first()[0]
-        own = seeds.select("host", (F.col("mass") * (1 - carried)).alias("own"))
-        new = stage(sent.join(own, "host", "full").select("host", (F.coalesce("got", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("rank")), "url-rank")
-        moved = new.join(rank.withColumnRenamed("rank", "old"), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
-        drop(sent, rank)
-        rank = new
-        if moved < tolerance:
-            break
-    return rank
+    seeds = stage(seeds.select("host", (F.col("mass") / F.lit(float(total))).alias("rank")), "url-rank")
+    rounds, moving, some = [seeds], 1.0, not hubs.isEmpty()
+    while moving >= tolerance:
+        at = rounds[-1].withColumnRenamed("host", "src")
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)) if some else F.lit(0)
+        at = (at.join(hubs, "src", "left") if some else at).withColumn("part", parts)
+        sent = at.join(flow, ["src", "part"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("rank"))
+        told = Observation()
+        rounds.append(stage(sent.observe(told, F.coalesce(F.sum("rank"), F.lit(0.0)).alias("moving")), "url-rank"))
+        moving = told.get["moving"]
+    brought = seeds.sparkSession.read.schema(seeds.schema).parquet(*(r.staged_path for r in rounds)).groupBy("host").agg(F.sum("rank").alias("rank"))
+    ranks = stage(brought, "url-ranks")
+    drop(*rounds)
+    whole = ranks.agg(F.sum("rank")).first()[0]
+    return ranks.select("host", (F.col("rank") / F.lit(float(whole))).alias("rank"))
 
 
 def judge(pages: DataFrame, rules=RULES, margin: float = 1.0) -> DataFrame:
@@ -73,17 +83,16 @@ def judge(pages: DataFrame, rules=RULES, margin: float = 1.0) -> DataFrame:
     both kinds is judged by whether it holds more of all blocked or of all allowed pages. Trust follows links from
     trusted hosts; distrust runs against the links, from blocked hosts to those that link to them. Where no rule fits, a
     host is blocked if its distrust exceeds ``margin`` times its trust, and allowed otherwise, as are pages without a
-    host or with no evidence. Null urls and html count as empty; repeated pages are judged each.
+    host or with no evidence. Null urls and html count as empty; repeated pages are judged each; pages are read whole, of
+    any length; an empty table gives an empty result; further columns do not matter, whatever their names.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("rule", rule).withColumn("by_rule", verdict)
     counts = stage(judged.filter("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("allowed"), F.count_if(F.col("by_rule") == "block").alias("blocked"), F.count("*").alias("pages")), "url-hosts")
     edges = stage(host_edges(pages), "url-edges")
-    out = edges.join(edges.groupBy("src").agg(F.sum("n").alias("of")), "src").select("src", "dst", (F.col("n") / F.col("of")).alias("share"))
-    back = edges.join(edges.groupBy("dst").agg(F.sum("n").alias("of")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("of")).alias("share"))
-    trust = spread(counts.filter("allowed > 0").select("host", F.col("allowed").cast("double").alias("mass")), out).select("host", F.col("rank").alias("trust"))
-    distrust = spread(counts.filter("blocked > 0").select("host", F.col("blocked").cast("double").alias("mass")), back).select("host", F.col("rank").alias("distrust"))
+    trust = spread(counts.filter("allowed > 0").select("host", F.col("allowed").cast("double").alias("mass")), *shares(edges, "src", "dst")).select("host", F.col("rank").alias("trust"))
+    distrust = spread(counts.filter("blocked > 0").select("host", F.col("blocked").cast("double").alias("mass")), *shares(edges, "dst", "src")).select("host", F.col("rank").alias("distrust"))
     hosts = stage(counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "url-verdicts")
     by_method = F.when(F.col("distrust") > margin * F.col("trust"), "block").otherwise("allow")
     return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -379,7 +379,7 @@ def plain_rule(host, path):
     return best or (None, None)
 
 
-def plain_rank(seeds, links, rounds=20):
+def plain_rank(seeds, links, rounds=200):
     total = sum(seeds.values())
     seeds = {h: m / total for h, m in seeds.items()}
     rank = dict(seeds)
@@ -455,5 +455,26 @@ def test_url_verdicts_equal_plain_propagation(spark, graph):
     assert got[4].verdict == got[5].verdict == "block" and got[6].verdict == got[7].verdict == got[8].verdict == "allow"
 
 
+@pytest.mark.parametrize("most", [100_000, 2])
+def test_distrust_reaches_the_end_of_a_long_chain_and_hubs_are_split(spark, most):
+    """Thirty hosts, each of which links to the one before; the first is blocked, and the last one's distrust is not nothing."""
+    chain = [(f"h{k}", f"h{k - 1}", 1) for k in range(1, 30)] + [(f"h{k % 3}", f"x{k}", 1 + k % 2) for k in range(9)]
+    edges = spark.createDataFrame(chain, "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 3.0)], "host string, mass double")
+    for end, other in (("dst", "src"), ("src", "dst")):
+        flow, hubs = url_graph.shares(edges, end, other, most)
+        assert hubs.isEmpty() == (most > 2 or end == "dst")
+        got = {r.host: r["rank"] for r in url_graph.spread(seeds, flow, hubs).collect()}
+        of, links = {}, {}
+        for a, b, n in chain:
+            a, b = (b, a) if end == "dst" else (a, b)
+            of[a] = of.get(a, 0) + n
+            links[a, b] = links.get((a, b), 0) + n
+        want = plain_rank({"h0": 3.0}, {(a, b): n / of[a] for (a, b), n in links.items()})
+        assert sum(got.values()) == pytest.approx(1.0) and all(got.get(h, 0.0) == pytest.approx(v, abs=1e-6) for h, v in want.items())
+        if end == "dst":
+            assert got["h29"] > 1e-4
+
+
 def test_no_pages(spark):
     assert url_graph.judge(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
