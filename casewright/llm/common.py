@@ -78,7 +78,9 @@ def keyed(df: DataFrame, name: str) -> DataFrame:
     if not of_files(df):
         df = stage(df, name)
     doc = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("doc")
-    return df.select(doc, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # the files' own metadata, also where a column has its name
+    place = df.metadataColumn("_metadata")
+    return df.select(doc, place["file_path"].alias("__file"), place["row_index"].alias("__row"))
 
 
 def n_words(text) -> F.Column:

@@ -29,9 +29,10 @@ def stream_groups(digests: DataFrame, bodies: DataFrame, files_per_trigger: int
 
     The state lives in RocksDB on the executors' disks, is logged to the shared folder, never expires, and holds for each
     digest the number of rows and, of the row with the largest doc_id, that id and the locator (file and row) of its
-    text. Each batch writes the groups it changed, then checks its hits: every text under a digest that several rows have
-    is compared in full bytes (``bodies``: digest, body, top) with the text that the state's locator names. A batch that
-    runs again overwrites its own folders. The stream has a session of its own, so no setting of the caller's changes.
+    text. Each batch writes the groups it changed; one that runs again overwrites its own folder. After the last batch the
+    hits are checked, once however many batches there were: texts under a digest that several rows have are grouped by
+    their full bytes (``bodies``: digest, body, top), and one whose row with the largest doc_id is not the one that the
+    state's locator names is another text. The stream has a session of its own, so no setting of the caller's changes.
     """
     spark = digests.sparkSession
     home = f"{shared_dir(spark)}/dedup-stream-{uuid.uuid4().hex}"
@@ -47,9 +48,6 @@ def stream_groups(digests: DataFrame, bodies: DataFrame, files_per_trigger: int
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{home}/groups/batch={number}")
-        hits = spark.read.schema(schema).parquet(f"{home}/groups/batch={number}").filter("group_size > 1").select("digest", F.col("top.locator").alias("at"))
-        unequal = bodies.join(hits, "digest").filter(F.col("top.locator") != F.col("at"))
-        unequal.select("digest").write.mode("overwrite").parquet(f"{home}/unequal/batch={number}")
 
     query = groups.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
@@ -57,10 +55,10 @@ def stream_groups(digests: DataFrame, bodies: DataFrame, files_per_trigger: int
     if not batches:
         return spark.createDataFrame([], schema), spark.createDataFrame([], other)
     found = spark.read.schema(schema).option("basePath", f"{home}/groups").parquet(f"{home}/groups").select(*schema.fieldNames())
-    unequal = spark.read.schema(other).option("basePath", f"{home}/unequal").parquet(f"{home}/unequal").select("digest").distinct()
     if batches > 1:
         found = stage(found.groupBy("digest").agg(F.max("top").alias("top"), F.max("group_size").alias("group_size")), "dedup-groups")
-    return found, unequal
+    hits = found.filter("group_size > 1").select("digest", F.col("top.locator").alias("at"))
+    return found, bodies.join(hits, "digest").filter(F.col("top.locator") != F.col("at")).select("digest").distinct()
 
 
 def classes(docs: DataFrame, files_per_trigger: int | None = None, digest: Callable[[Column], Column] = sha256) -> tuple[DataFrame, DataFrame]:

@@ -122,6 +122,22 @@ def test_exact_groups(spark, files):
     assert got == {i: (max(k for k, u in enumerate(texts) if (u or "") == (t or "")), sum((u or "") == (t or "") for u in texts), i == max(k for k, u in enumerate(texts) if (u or "") == (t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts)}
 
 
+def test_a_text_that_comes_again_and_again_is_never_called_several(spark):
+    """Eight files, one at a trigger, so copies arrive in every batch: no digest stands for several texts."""
+    rows = frame(spark, [f"t{k % 3}" for k in range(64)]).repartition(8)
+    members, groups = exact_dedup.classes(rows, 1)
+    assert members.filter("other IS NOT NULL").count() == groups.filter("other IS NOT NULL").count() == 0
+    assert {(r.top.doc_id, r.group_size) for r in groups.collect()} == {(63, 22), (61, 21), (62, 21)}
+
+
+def test_a_column_may_be_called_like_the_files_metadata(spark, tmp_path):
+    spark.createDataFrame([(k, f"one two three four {k % 2}", f"m{k}") for k in range(4)], "doc_id long, text string, _metadata string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    for stage in (exact_dedup.exact_dedup_stage, near_dedup.near_dedup_stage):
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and sorted(r._metadata for r in kept.collect()) == (["m2", "m3"] if stage is exact_dedup.exact_dedup_stage else ["m0", "m1"])
+
+
 def test_exact_rows_without_id_and_empty_tables(spark):
     got = exact_dedup.dedup(frame(spark, ["a", "a", "c"], [None, 3, None])).collect()
     assert sorted((r.text_sha256[:4], r.doc_id or -1, r.kept) for r in got) == sorted([(hashlib.sha256(b"a").hexdigest()[:4], -1, False), (hashlib.sha256(b"a").hexdigest()[:4], 3, True), (hashlib.sha256(b"c").hexdigest()[:4], -1, True)])
