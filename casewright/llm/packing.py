@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stage
+from .common import keyed, n_words, stage
 
 def best_bounds(lengths, counts, totals, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets that together pad the least.
@@ -50,13 +50,13 @@ def pack(docs: DataFrame, buckets: int = 8, budget: int = 16_384, spread: int =
     task holds a bucket; batches form within lots, in the order of the hash, and only the last of a lot may be part full.
     Tokens are words. The histogram has every length on its own, so the padding is the least there is; it grows with the
     number of different lengths, not of documents. Empty and null texts have no tokens and share the shortest bucket;
-    repeated rows, and rows without doc_id, are packed each, dealt by their length and place; an empty table packs into
+    repeated rows, and rows without doc_id, are packed each, dealt by their place; an empty table packs into
     nothing; further columns do not matter.
     """
     spark = docs.sparkSession
-    # rows without doc_id, or that repeat one, would share a hash
-    place = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    sized = stage(docs.select("doc_id", n_words(F.col("text")).alias("n_tokens"), place.alias("h")), "pack-sized")
+    # rows without doc_id, or that repeat one, would share a hash: a row's number in its file tells them apart
+    rows = keyed(docs, "pack-docs")
+    sized = stage(rows.select(F.col("doc.doc_id").alias("doc_id"), n_words(F.col("doc.text")).alias("n_tokens"), F.xxhash64("doc.doc_id", "__row").alias("h")), "pack-sized")
     histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").collect()
     if not histogram:
         return sized.select("doc_id", "n_tokens", F.lit(0).alias("bucket"), F.col("n_tokens").alias("bucket_len"), F.lit("").alias("batch_id"), F.lit(0).alias("slot"))

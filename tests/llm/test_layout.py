@@ -168,10 +168,11 @@ def test_a_table_is_padded_the_least(spark):
     assert {r.bucket_len for r in got} <= set(lengths)
 
 
-def test_rows_without_id_are_dealt_over_lots(spark):
-    rows = [(None, "w " * (i % 5), None) for i in range(200)]
+@pytest.mark.parametrize("doc", [None, 7])
+def test_rows_without_id_or_of_one_id_are_dealt_over_lots(spark, doc):
+    rows = [(doc, "w " * (i % 5), None) for i in range(200)]
     got = packing.pack(frame(spark, rows), buckets=1, budget=40, spread=20).collect()
-    check_packed(got, [(-1, n_words(t)) for _, t, _ in rows], 40)
+    check_packed(got, [(-1 if doc is None else doc, n_words(t)) for _, t, _ in rows], 40)
     assert len({r.batch_id.split("-")[1] for r in got}) == 10
 
 
