@@ -316,6 +316,21 @@ def test_each_stage_equals_its_plain_version(spark, sf_dir):
 
     packed = steps["packing"](spark, mixed, sf_dir).collect()
     check_packed(packed, [(r.doc_id, n_words(r.text)) for r in mixed.collect()], 16_384)
+    assert sorted((r.doc_id, r.text) for r in packed) == sorted((r.doc_id, r.text) for r in mixed.collect())
+
+
+def test_batches_keep_the_order_of_the_files(spark, tmp_path):
+    rows = [(k % 7 if k % 5 else None, "w " * (k % 11), "s") for k in range(300)]
+    frame(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    got = packing.pack(docs, buckets=3, budget=40, spread=25, in_order=True).collect()
+    check_packed(got, [(-1 if i is None else i, n_words(t)) for i, t, _ in rows], 40)
+    assert len({(r.file, r.row) for r in got}) == 300
+    lots = {}
+    for r in sorted(got, key=lambda r: (r.file, r.row)):
+        lots.setdefault((r.file, r.row // 25, r.bucket), []).append((int(r.batch_id.split("-")[2]), r.slot))
+    assert all(v == sorted(v) for v in lots.values())
+
 
 
 def test_stages_of_an_empty_table(spark, sf_dir):
