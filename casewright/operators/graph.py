@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.sources.shared import written
+
 
 def hop(nodes: DataFrame, edges: DataFrame, on: list[str] | str, optional: bool = False) -> DataFrame:
     """One step along edges; with ``optional`` nodes without edges stay."""
@@ -47,15 +49,21 @@ def link_or_fallback(citations: DataFrame, targets: DataFrame, on: list[str], fo
     return out.withColumn("linked_to", F.when(F.col("_there"), F.lit(found)).otherwise(fallback)).drop("_there")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
-    """root, id, depth: everything under each root, with the root itself at depth 0, by a recursive query.
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, id, depth: everything under each root, to any depth, with the root itself at depth 0.
 
-    edges: parent, child of a containment hierarchy (each child has one parent); roots: root.
+    edges: parent, child of a containment hierarchy (each child has one parent); roots: root. Each level joins what the
+    last one found with the edges and is written, until a level finds nothing. The job fails where a child is its own root.
     """
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE d(root, id, depth) AS (
-             SELECT root, root, 0 FROM {roots} UNION ALL SELECT d.root, e.child, d.depth + 1 FROM d JOIN {edges} e ON e.parent = d.id WHERE d.depth < {most})
-           SELECT * FROM d""", roots=roots, edges=edges, most=most)
+    level = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
+    found = [written(level, "under")]
+    while True:
+        below = found[-1].join(edges, F.col("id") == F.col("parent")).select("root", F.col("child").alias("id"), (F.col("depth") + 1).alias("depth"))
+        cycle = F.raise_error(F.concat(F.lit("a cycle leads back to "), F.col("root").cast("string"))).cast("boolean")
+        level = written(below.filter(F.when(F.col("id") == F.col("root"), cycle).otherwise(True)), "under")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(level)
 
 
 def chain_sorted(start: DataFrame, *steps: tuple[DataFrame, list[str] | str]) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions import text as x
 from casewright.sources.shared import written
 
 
@@ -106,6 +107,35 @@ def context_query(query: Column, last_answer: Column, chars: int = 300) -> Colum
     return F.when(F.coalesce(last_answer, F.lit("")) == "", query).otherwise(F.concat(F.substring(last_answer, 1, chars), F.lit("\n"), query))
 
 
+def reduce_in_one_job(df: DataFrame, doc: str, order: str, text: str, size, budget: int, shorten, join: str = "\n", block: int = 10_000) -> DataFrame:
+    """doc, text: each document's texts packed and shortened level by level until one is left, in one job.
+
+    ``shorten`` and ``size`` are Column -> Column. A document's levels run within its row as one expression, as many as it
+    needs. Documents of over ``block`` texts are first packed and shortened by runs of ``block``, so no row holds more than
+    a run's texts, then their packs; a pack never spans two runs. The job fails where two texts that are left do not fit
+    the budget.
+    """
+    d = df.select(doc, F.col(order).alias("_o"), F.coalesce(text, F.lit("")).alias(text))
+    rank = F.row_number().over(Window.partitionBy(doc).orderBy("_o", text)) - 1
+
+    def level(items: Column) -> Column:
+        """Packs of the texts, each shortened."""
+        pack = lambda z: shorten(F.array_join(F.slice(items, z["b"] + 1, z["e"] - z["b"]), join))
+        ends = lambda begins: F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(items)))
+        return x.once(packed(items, size, budget), lambda begins: F.transform(F.arrays_zip(begins.alias("b"), ends(begins).alias("e")), pack))
+
+    def reduced(items: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(items)), items, lambda acc, _: F.when(F.size(acc) > 1, level(acc)).otherwise(acc))
+
+    texts = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("_o", F.col(c)))), lambda t: t[c])
+    runs = d.withColumn("_run", F.floor(rank / block)).groupBy(doc, "_run").agg(texts(text).alias("_t"))
+    # a document of one run is not shortened before its own levels
+    runs = runs.select(doc, F.col("_run").alias("_o"), F.when(F.size("_t") > 1, reduced(F.col("_t"))).otherwise(F.col("_t")).alias("_t"))
+    whole = runs.groupBy(doc).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_t"))), lambda t: t["_t"])).alias("_t")).withColumn("_t", reduced(F.col("_t")))
+    left = F.raise_error(F.concat(F.lit("texts left that do not fit the budget: "), F.col(doc).cast("string")))
+    return whole.select(doc, F.when(F.size("_t") == 1, F.col("_t")[0]).otherwise(left.cast("string")).alias(text))
+
+
 def reduce_until_one(df: DataFrame, doc: str, order: str, text: str, size, budget: int, shorten, rounds: int = 20) -> DataFrame:
     """Packs and shortens each document's texts again and again until one is left; ``shorten`` is a Column -> Column.
 

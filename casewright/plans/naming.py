@@ -13,13 +13,13 @@ _NAME = "p_name || ' ' || p_partkey"
 
 @query(f"""WITH n AS (SELECT {_NAME} AS name, replace({_NAME}, ' ', '') AS short FROM part),
 q AS (SELECT o_orderkey, 'q' || o_orderkey || ': ' || a.p_name || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' ' END || a.p_partkey || ' and ' || {_NAME.replace('p_', 'b.p_')} || '?' AS t
-FROM orders JOIN part a ON a.p_partkey = o_custkey % (SELECT count(*) FROM part) + 1 JOIN part b ON b.p_partkey = o_orderkey % (SELECT count(*) FROM part) + 1)
+FROM orders JOIN part a ON a.p_partkey = o_custkey % (SELECT count(*) FROM part) JOIN part b ON b.p_partkey = o_orderkey % (SELECT count(*) FROM part))
 SELECT o_orderkey, min_by(name, (-len(name), name)) AS name FROM q JOIN n ON contains(t, name) OR contains(t, short) GROUP BY 1""")
 def names_in_texts(spark, sf_dir):
     """Every order's question names two parts: the longest known name in it, of all parts' names at once."""
     part = table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit(" "), "p_partkey"))
     n = part.count()
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % n + 1).alias("a"), (F.col("o_orderkey") % n + 1).alias("b"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % n).alias("a"), (F.col("o_orderkey") % n).alias("b"))
     first = part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("pa"))
     second = part.select(F.col("p_partkey").alias("b"), F.col("name").alias("pb"))
     gap = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(" ")
