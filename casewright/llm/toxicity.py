@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 # Seed words of the classes that labels cannot name, in the corpus' four languages.
-THREATS = "kill hurt destroy beat burn stab shoot die töten umbringen schlagen sterben verletzen tuer frapper crever mourir matar golpear morir destruir".split()
+THREATS = "kill hurt destroy beat burn stab shoot töten umbringen schlagen sterben verletzen tuer frapper crever mourir matar golpear morir destruir".split()
 TARGETS = "you your yours yourself he she they him her them du dich dir dein deine ihr euch tu toi te ton ta vous votre tú ti usted ustedes vosotros".split()
 NEGATIONS = "not never no don't isn't nicht kein keine keinen nie niemals pas jamais aucun nunca jamás ningún tampoco".split()
 REPORTS = "said says wrote called claimed quoted reported sagte sagt schrieb behauptete dit disait écrit appelé dijo dice escribió llamó".split()
@@ -131,23 +131,52 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [*map(math.log1p, arcs), max(scores, default=0.0), math.log1p(len(scores)), sum(scores) / math.sqrt(words + 1.0), 1.0]
 
 
+#: Weights used where the labels do not hold both classes, the constant last; and what the fit leans to where they say little.
+DEFAULT = np.array([0.8, 1.2, 0.1, 0.2, 0.1, 1.5, 0.3, 0.5, 0.5, 0.5, 0.0, -4.0])
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a logistic regression, the constant last."""
-    x = np.column_stack((x, np.ones(len(x))))
-    w = np.zeros(x.shape[1])
-    penalty = ridge * np.eye(len(w))
-    penalty[-1, -1] = 1e-3
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
-        w = w + move
-        if np.abs(move).max() < 1e-8:
-            break
-    return w
+    """Weights of a logistic regression, the constant last; none but the constant is negative, and aiming a match never lowers it.
 
+    So a text with a match never scores below one without. A match that is aimed at weighs what a plain one does and a
+    part of its own. The ridge pulls towards DEFAULT, so kinds that the labels hardly show keep a weight. Newton steps over
+    the weights that may move, cut off at 0 and halved until the likelihood rises.
+    """
 
-#: Used where the labels do not hold both classes.
-DEFAULT = np.array([0.8, 1.2, -0.2, 0.2, -0.2, 1.5, 0.3, 0.5, 0.5, 0.5, 0.5, -4.0])
+    def turned(v):
+        v = v.copy()
+        v[AT] -= v[PLAIN]
+        return v
+
+    z = np.column_stack((x, np.ones(len(x))))
+    z[:, PLAIN] += z[:, AT]
+    prior = turned(DEFAULT)
+    penalty = np.full(z.shape[1], ridge)
+    penalty[-1] = 1e-3
+    floor = np.zeros(z.shape[1])
+    floor[-1] = -np.inf
+
+    def loss(w):
+        m = z @ w
+        return (np.logaddexp(0, m) - y * m).sum() + 0.5 * (penalty * (w - prior) ** 2).sum()
+
+    w = np.maximum(prior, floor)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        down = z.T @ (p - y) + penalty * (w - prior)
+        free = (w > floor) | (down < 0)
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty)
+        move = np.zeros(len(w))
+        move[free] = -np.linalg.solve(h[np.ix_(free, free)], down[free])
+        step, now = 1.0, loss(w)
+        while step > 1e-8 and loss(np.maximum(w + step * move, floor)) > now:
+            step /= 2
+        new = np.maximum(w + step * move, floor)
+        if np.abs(new - w).max() < 1e-8:
+            break
+        w = new
+    w[AT] += w[PLAIN]
+    return w
 
 
 def held_out(doc_id) -> F.Column:
@@ -179,18 +208,18 @@ def _counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(each, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, texts: int = 200_000, sample: int = 20_000) -> tuple[dict, dict, np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, texts: int = 200_000, sample: int = 20_000, sure: float = 1.0) -> tuple[dict, dict, np.ndarray]:
     """Word weights, stem weights, logistic weights.
 
-    Only labelled rows outside the held-out third count, one of each set of equal texts; of more than ``texts`` of them
-    about that many, by a hash. So their ids are few enough to be broadcast, and no text leaves its task. Half of them
-    give the lexicon: words and beginnings of words with a log-odds of toxicity whose lower bound is high, at most
-    ``words`` of them. The other half gives the calibration: at most ``sample`` texts, the first by a hash.
+    Only labelled rows outside the held-out third count, one of each set of equal texts (the labelled one with the least
+    doc_id); of more than ``texts`` of them about that many, by a hash. So their ids are few enough to be broadcast, and no
+    text leaves its task. Half of them give the lexicon: all words and beginnings of words with a log-odds of toxicity
+    whose lower bound is high. The other half gives the calibration: at most ``sample`` texts, the first by a hash.
     """
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     good = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    single = docs.filter("doc_id is not null").groupBy(hashed.alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    ids = stage(good.join(single, "doc_id").select("doc_id", "toxic", "h"), "tox-ids")
+    labelled = docs.filter("doc_id is not null").select("doc_id", hashed.alias("h")).join(good, "doc_id")
+    ids = stage(labelled.groupBy("h").agg(F.min(F.struct("doc_id", "toxic")).alias("m")).select("m.doc_id", "m.toxic", "h"), "tox-ids")
     n = ids.count()
     if n > texts:
         ids = ids.filter(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < 1_000_000 * texts // n)
@@ -204,9 +233,10 @@ def learn(docs: DataFrame, labels: DataFrame, words: int = 20_000, texts: int =
     pos, neg = total[True], total[False]
     up, down = F.col("pos") + 0.5, F.col("neg") + 0.5
     odds = F.log(up / (pos + 1)) - F.log(down / (neg + 1))
-    low = odds - F.sqrt(1 / up + 1 / down)
+    low = odds - sure * F.sqrt(1 / up + 1 / down)
     found = _counts(rows.filter("h % 2 = 0")).select("feature", odds.alias("odds"), low.alias("low")).filter("low > 1.8")
-    found = found.orderBy(F.col("low").desc(), "feature").limit(words).collect()
+    # at most what ``texts`` texts hold
+    found = found.collect()
     lexicon = {k: {r["feature"][2:]: min(6.0, r["odds"]) for r in found if r["feature"].startswith(k)} for k in ("w:", "s:")}
     word, stem = seeds | lexicon["w:"], lexicon["s:"]
     last = ids.filter("h % 2 <> 0").orderBy("h").limit(sample).agg(F.max("h")).first()[0]

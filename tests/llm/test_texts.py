@@ -2,13 +2,17 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.llm import licences, pii, toxicity, url_graph
+from casewright.llm import common, licences, pii, toxicity, url_graph
 
 SCHEMA = "doc_id long, text string, uid long, kind string, found string, line string, h long, lang string"
 
@@ -245,6 +249,51 @@ def test_scores_of_odd_rows(spark):
     assert toxicity.score(frame(spark, ["you idiot idiot moron"]), labels.limit(0)).count() == 1
 
 
+def test_threats_score_above_texts_without_a_match(spark):
+    """In each language a threat is at least three times as toxic as an empty text; aiming an insult, or a threat in place of a harmless word, never makes a text less so."""
+    d = "/root/testdata/sf0.1"
+    word, stem, weights = toxicity.learn(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    lex = toxicity.Lexicon(word, stem)
+    score = lambda *texts: toxicity.probabilities(pa.array(texts), lex, weights).tolist()
+    empty, *threats = score("", "I will kill you", "ich werde dich töten", "je vais te frapper", "te voy a matar, tú vas a morir", "I will find you tomorrow evening at your house and I will kill you with my own hands")
+    assert min(threats) > 3 * empty
+    plain, aimed, harmless, both = score("the idiot", "you idiot", "you idiot, I will join you", "you idiot, I will kill you")
+    assert empty < plain <= aimed and empty < harmless <= both
+    assert (weights[:-1] >= 0).all() and weights[toxicity.AT] >= weights[toxicity.PLAIN]
+
+
+def test_the_fit_is_the_best_within_its_bounds():
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(size=(400, toxicity.FEATURES))) * rng.integers(0, 2, (400, toxicity.FEATURES))
+    y = (x[:, 0] - x[:, 5] + rng.normal(size=400) > 0.3).astype(float)
+    w = toxicity.fit_logistic(x, y)
+
+    def loss(v):
+        m = x @ v[:-1] + v[-1]
+        t, p = v.copy(), toxicity.DEFAULT.copy()
+        t[toxicity.AT], p[toxicity.AT] = t[toxicity.AT] - t[toxicity.PLAIN], p[toxicity.AT] - p[toxicity.PLAIN]
+        return (np.logaddexp(0, m) - y * m).sum() + 0.5 * ((t - p)[:-1] ** 2).sum() + 0.5e-3 * (t - p)[-1] ** 2
+
+    assert (w[:-1] >= 0).all() and w[5] == 0 and w[0] > 0.3
+    for _ in range(500):
+        v = w + rng.normal(size=len(w)) * rng.choice([1e-3, 1e-1])
+        v[:-1] = np.maximum(v[:-1], 0)
+        v[toxicity.AT] = max(v[toxicity.AT], v[toxicity.PLAIN])
+        assert loss(v) >= loss(w) - 1e-6
+
+
+def test_a_label_counts_whichever_of_equal_texts_has_it(spark):
+    texts = [f"text {k // 2}" for k in range(400)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1][:400]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    # only the second of each pair, the one with the larger doc_id, is labelled
+    labels = spark.createDataFrame([(i, int(k % 4 == 1)) for k, i in enumerate(ids) if k % 2], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    folder = common.shared_dir(spark).removeprefix("file://")
+    newest = max((os.path.join(folder, f) for f in os.listdir(folder) if f.startswith("tox-rows-")), key=os.path.getmtime)
+    assert spark.read.parquet(newest).count() == 200
+
+
 def test_bounded_learning_and_clean_rows(spark):
     """With fewer texts than labels some are learnt from, the same ones in each run; clean rows are those scored below the threshold."""
     d = "/root/testdata/sf0.01"
