@@ -70,3 +70,11 @@ def block_texts(v: Column) -> Column:
     of_node = lambda b: F.transform(F.filter(F.map_values(F.try_variant_get(b, "$", _NODE)), is_text), scalar)
     parts = F.flatten(F.transform(many(v), lambda b: F.when(is_node(b), of_node(b)).otherwise(texts(b))))
     return F.trim(F.array_join(parts, "\n"))
+
+
+def unwrapped(v: Column, names: tuple[str, ...] = ("root", "items", "citations", "records")) -> Column:
+    """Array of the entries of an answer that should be a list: a list itself; of a node the list under the first of the names that holds one, or its only field if that is a list; else the node alone. Empty nodes are left out."""
+    named = F.coalesce(*[F.when(is_list(field(v, n)), field(v, n)) for n in names])
+    only = F.get(F.map_values(F.try_variant_get(v, "$", _NODE)), F.lit(0))
+    lone = F.when((F.size(F.map_keys(F.try_variant_get(v, "$", _NODE))) == 1) & is_list(only), only)
+    return F.filter(many(F.when(is_node(v), F.coalesce(named, lone, v)).otherwise(v)), lambda e: F.to_json(e) != "{}")

@@ -101,3 +101,53 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that stand on more than one row."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def year_in(date: Column, first: int, last: int) -> Column:
+    """The year that a date's text begins with, if it is four digits and lies in the range; null otherwise."""
+    year = F.when(F.substring(date, 1, 4).rlike("^[0-9]{4}$"), F.substring(date, 1, 4).cast("int"))
+    return F.when(year.between(first, last), year)
+
+
+def yearly_cases(cases: DataFrame, date: str, number: str, win: Column, first: int, last: int, most: int = 1000) -> DataFrame:
+    """year, part, total, wins, win_rate, cases: a year's rate and its case numbers by date, at most ``most`` in a part.
+
+    ``date`` is a text; cases whose date begins with no year, or with one out of the range, are left out.
+    """
+    d = cases.withColumn("year", year_in(F.col(date), first, last)).filter("year IS NOT NULL").withColumn("_w", F.coalesce(win, F.lit(False)))
+    totals = rate_by(d, ["year"], F.col("_w"))
+    # numbered within a day first, so that no task numbers a year
+    days = d.groupBy("year", date).agg(F.count("*").alias("n"))
+    ahead = days.withColumn("_ahead", F.sum("n").over(Window.partitionBy("year").orderBy(date)) - F.col("n")).select(date, "_ahead")
+    at = F.row_number().over(Window.partitionBy(date).orderBy(number)) - 1 + F.col("_ahead")
+    parts = d.join(ahead, date).withColumn("_at", at).withColumn("part", F.floor(F.col("_at") / most).cast("int"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_at", F.col(number).alias("_c")))), lambda x: x["_c"])
+    return parts.groupBy("year", "part").agg(listed.alias("cases")).join(totals, "year").select("year", "part", "total", "wins", "win_rate", "cases")
+
+
+def pattern_lines(cases: DataFrame, statutes: DataFrame, key: str, win: Column, statute: str, top: int = 4) -> DataFrame:
+    """key, pattern: how many cases were won and lost, and the statutes cited most (ties by name), as two lines of text."""
+    n = cases.groupBy(key).agg(F.count("*").alias("n"), F.count_if(win).alias("w"))
+    counts = statutes.filter(F.col(statute).isNotNull()).groupBy(key, statute).agg(F.count("*").alias("c"))
+    best = counts.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col("c").desc(), statute))).filter(F.col("_r") <= top)
+    names = best.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", F.col(statute).cast("string").alias("s")))), lambda x: x["s"]), ", ").alias("names"))
+    line = F.format_string("%d cases | %d won / %d lost\nmost cited: %s", "n", "w", F.col("n") - F.col("w"), F.coalesce("names", F.lit("none")))
+    return n.join(names, key, "left").select(key, line.alias("pattern"))
+
+
+def version_counts(versions: DataFrame, law: str, kind: str, kinds: list[str]) -> DataFrame:
+    """law, kinds: for each law the number of its versions by kind, as a list in the order of ``kinds``; kinds without any are left out."""
+    g = versions.filter(F.col(kind).isin(kinds)).groupBy(law, kind).agg(F.count("*").alias("n"))
+    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col(kind))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct(rank.alias("k"), F.col(kind).alias("kind"), "n"))), lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("version_count")))
+    return g.groupBy(law).agg(listed.alias("kinds"))
+
+
+def newest_unknown(remote: DataFrame, known: DataFrame, kinds: DataFrame, law: str, number: str, order: str) -> DataFrame:
+    """law, kind, number, order: the newest remote version of each law, for each of its kinds whose known versions lack its number.
+
+    remote: law, number, order (the newest first counts; ties by the larger number); known: law, kind, number; kinds: law, kind.
+    """
+    newest = remote.filter(F.col(number).isNotNull() & (F.trim(F.col(number).cast("string")) != "")).groupBy(law).agg(F.max(F.struct(order, number)).alias("m")).select(law, f"m.{number}", f"m.{order}")
+    asked = kinds.select(law, "kind").distinct().join(newest, law)
+    return asked.join(known.select(law, "kind", number).distinct(), [law, "kind", number], "left_anti").select(law, "kind", number, order)

@@ -126,3 +126,15 @@ def fuse_reciprocal(sources: dict[str, DataFrame], key: str, limit: int, constan
 def ranked(df: DataFrame, *order: str | Column, columns: list[str]) -> DataFrame:
     """Selected columns with ``rank``, from 1, of a result list (which has a bounded number of rows)."""
     return df.select(*columns, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"))
+
+
+def bundle(df: DataFrame, query: list[float], limits: dict[str, tuple[dict, int]], key: str, vector: str) -> DataFrame:
+    """A retrieval bundle: the nearest rows of several collections side by side, each with its own filter and limit; adds source, rank.
+
+    limits: source -> (clauses as for where(), how many). One scan for all: a row counts for each source whose clauses it meets.
+    """
+    sim = df.withColumn("similarity", similarity(vector, query))
+    tagged = sim.withColumn("source", F.explode(F.array_compact(F.array(*[F.when(where(c), F.struct(F.lit(n).alias("name"), F.lit(k).alias("most"))) for n, (c, k) in limits.items()]))))
+    order = Window.partitionBy("source").orderBy(F.col("similarity").desc(), key)
+    ranked_ = tagged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(k for _, k in limits.values()))
+    return ranked_.filter(F.col("rank") <= F.col("source.most")).withColumn("source", F.col("source.name"))

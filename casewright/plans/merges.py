@@ -9,10 +9,10 @@ from casewright.operators import merge as m
 from .registry import query, table
 
 
-@query("""SELECT o.o_orderkey, o.o_custkey, coalesce(l.n, 0) AS refs, coalesce(l.top, 'none') AS top_flag FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_returnflag) AS top FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""")
+@query("""SELECT o.o_orderkey, o.o_custkey, coalesce(l.n, 0) AS refs, coalesce(l.top, 'none') AS top_flag FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS n, max(l_returnflag) AS top FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""")
 def enrich_left_merge(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    tags = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("refs"), F.max("l_returnflag").alias("top_flag"))
+    tags = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("refs"), F.max("l_returnflag").alias("top_flag"))
     return m.enrich(o, tags, ["o_orderkey"], {"refs": 0, "top_flag": "none"})
 
 

@@ -64,13 +64,13 @@ def current_addenda(spark, sf_dir):
     return st.current_addenda(o.join(units, "addendum"), laws).select("law_id", "addendum", "unit_no", "text")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'F' || (l_suppkey % 10) END AS family, l_suppkey AS law, l_partkey % 50 AS no FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber <= 5),
-s AS (SELECT 'F' || (p_partkey % 10) AS family, p_partkey % 50 AS no, 'P' || min(p_partkey) AS version FROM part WHERE p_size <= 25 GROUP BY 1, 2), i AS (SELECT s_suppkey AS law, s_suppkey % 50 AS no, s_name AS version FROM supplier)
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'F' || (l_suppkey % 10) END AS family, l_suppkey AS law, l_partkey % 50 AS no FROM lineitem),
+s AS (SELECT 'F' || (p_partkey % 10) AS family, p_partkey % 50 AS no, 'P' || min(p_partkey) AS version FROM part GROUP BY 1, 2), i AS (SELECT s_suppkey AS law, s_suppkey % 50 AS no, s_name AS version FROM supplier)
 SELECT l_orderkey, l_linenumber, coalesce(s.version, i.version) AS version, CASE WHEN s.version IS NOT NULL THEN 'snapshot' WHEN i.version IS NOT NULL THEN 'index' ELSE 'model' END AS route
 FROM c LEFT JOIN s ON s.family = c.family AND s.no = c.no LEFT JOIN i ON i.law = c.law AND i.no = c.no""")
 def citation_versions(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("F"), F.col("l_suppkey") % 10)).alias("family"), F.col("l_suppkey").alias("law"), F.when(F.col("l_linenumber") <= 5, F.col("l_partkey") % 50).alias("promulgation_no"), (F.col("l_returnflag") == "R").alias("is_prior_version"))
-    p = table(spark, sf_dir, "part").filter("p_size <= 25").groupBy(F.concat(F.lit("F"), F.col("p_partkey") % 10).alias("family"), (F.col("p_partkey") % 50).alias("promulgation_no")).agg(F.concat(F.lit("P"), F.min("p_partkey")).alias("version"))
+    c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit("F"), F.col("l_suppkey") % 10)).alias("family"), F.col("l_suppkey").alias("law"), (F.col("l_partkey") % 50).alias("promulgation_no"), F.lit(True).alias("is_prior_version"))
+    p = table(spark, sf_dir, "part").groupBy(F.concat(F.lit("F"), F.col("p_partkey") % 10).alias("family"), (F.col("p_partkey") % 50).alias("promulgation_no")).agg(F.concat(F.lit("P"), F.min("p_partkey")).alias("version"))
     i = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("law"), (F.col("s_suppkey") % 50).alias("promulgation_no"), F.col("s_name").alias("version"))
     return t.route_versions(c, p, i).select("l_orderkey", "l_linenumber", "version", "route")
 
@@ -118,9 +118,9 @@ def five_narratives(spark, sf_dir):
     return r.narratives(table(spark, sf_dir, "part"), "p_partkey", {"facts": c("p_name"), "claims": c("p_brand"), "grounds": F.when(c("p_size") % 3 == 0, " ").otherwise(c("p_type")), "ruling": c("p_size"), "order": F.when(c("p_partkey") % 2 == 0, F.concat("p_brand", "p_size"))})
 
 
-@query("""WITH d AS (SELECT doc_id::VARCHAR AS k, CASE lang WHEN 'en' THEN 'addendum' WHEN 'de' THEN 'annex' ELSE 'revision' END AS kind, text, ceil(len(text) / 2000.0)::BIGINT AS n FROM documents WHERE lang IN ('en', 'de', 'fr') AND trim(text) <> ''),
+@query("""WITH d AS (SELECT doc_id::VARCHAR AS k, CASE lang WHEN 'en' THEN 'addendum' WHEN 'de' THEN 'annex' WHEN 'es' THEN 'summary' ELSE 'revision' END AS kind, text, ceil(len(text) / 2000.0)::BIGINT AS n FROM documents WHERE trim(text) <> ''),
 p AS (SELECT *, unnest(range(1, n + 1)) AS i FROM d)
 SELECT CASE WHEN n > 1 THEN k || '_' || i ELSE k END AS id, kind, upper(kind[1]) || kind[2:] || CASE WHEN n > 1 THEN ' (part ' || i || ')' ELSE '' END AS title, sha256(substring(text, (i - 1) * 2000 + 1, 2000)) AS digest FROM p""")
 def observation_inputs(spark, sf_dir):
-    o = r.observations(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", {"en": "addendum", "de": "annex", "fr": "revision"}, 2000)
+    o = r.observations(table(spark, sf_dir, "documents"), "doc_id", "lang", "text", {"en": "addendum", "de": "annex", "fr": "revision", "es": "summary"}, 2000)
     return o.select("id", "kind", "title", F.sha2("text", 256).alias("digest"))

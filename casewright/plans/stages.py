@@ -115,11 +115,11 @@ def markdown_reports(spark, sf_dir):
     return io.report(whole, "case_id", "title", {"Asked": "asked", "Answered": "answered"}).select("case_id", F.sha2("markdown", 256).alias("digest"))
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT c_custkey, c_name FROM customer")
 def versioned_load(spark, sf_dir):
     # loaded once, skipped while the stamp is current, loaded anew for another one
     home = f"{shared_dir(spark)}/versioned-{uuid.uuid4().hex}"
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     for version, part in (("1", n.limit(3)), ("2", n), ("2", n.limit(3))):
         io.load_if_newer(spark, lambda part=part: part, home, version)
     return spark.read.parquet(home)

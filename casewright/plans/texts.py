@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casewright.functions import text as x
+from casewright.functions import variants as va
 
 from .registry import query, table
 
@@ -111,3 +112,14 @@ def synonym_normalise(spark, sf_dir):
 def json_field_range(spark, sf_dir):
     k = F.get_json_object(x.repaired_json(F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))), "$.k").try_cast("bigint")
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), k.between(10, 50).alias("in_range"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN event_type WHEN 3 THEN '' ELSE event_type || '|' || user_id END AS entries FROM events""")
+def unwrapped_answers(spark, sf_dir):
+    """Answers that should be a list: one as asked, under a known or an only field, alone, or empty, with empty entries among them."""
+    kind, user = F.concat(F.lit('{"k":"'), "event_type", F.lit('"}')), F.concat(F.lit('{"k":"'), "user_id", F.lit('"}'))
+    said = F.element_at(F.array(
+        F.concat(F.lit("["), kind, F.lit(",{},"), user, F.lit("]")), F.concat(F.lit('{"note":1,"items":[{},'), user, F.lit("]}")), kind, F.lit('{"found":[{}]}'),
+        F.concat(F.lit('{"found":['), kind, F.lit(","), user, F.lit("]}"))), (F.col("event_id") % 5 + 1).cast("int"))
+    entries = va.unwrapped(F.try_parse_json(said))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(entries, lambda e: va.scalar(va.field(e, "k"))), "|").alias("entries"))

@@ -102,3 +102,11 @@ def batch_topk_per_query(spark, sf_dir):
 def stratified_topk(spark, sf_dir):
     e, q = _q(spark, sf_dir)
     return v.top_k_by_class(e, q, {1: 10, 2: 5}, "label", "vec_id", "embedding").select("vec_id", "label", "similarity")
+
+
+@query(" UNION ALL ".join(f"SELECT vec_id, similarity, '{n}' AS source, row_number() OVER (ORDER BY similarity DESC, vec_id)::INTEGER AS rank FROM ({_top(0, k, f'label IN ({ls})')})" for n, ls, k in (("court", "0, 1, 2, 3", 10), ("tribunal", "2, 3, 4, 5", 6), ("articles", "6, 7", 5))))
+def retrieval_bundle(spark, sf_dir):
+    """What one agent retrieves: ten court cases, six of the tribunal and five articles, in one scan."""
+    e, q = _q(spark, sf_dir)
+    limits = {"court": ({"label": [0, 1, 2, 3]}, 10), "tribunal": ({"label": [2, 3, 4, 5]}, 6), "articles": ({"label": [6, 7]}, 5)}
+    return v.bundle(e, q, limits, "vec_id", "embedding").select("vec_id", "similarity", "source", "rank")
