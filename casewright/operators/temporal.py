@@ -151,3 +151,17 @@ def route_versions(cites: DataFrame, snapshots: DataFrame, index: DataFrame) ->
     j = c.join(s, ["family", "promulgation_no"], "left").join(i, ["law", "promulgation_no"], "left")
     route = F.when(F.col("_s").isNotNull(), "snapshot").when(F.col("_i").isNotNull(), "index").otherwise("model")
     return j.withColumns({"version": F.coalesce("_s", "_i"), "route": route}).drop("_s", "_i")
+
+
+def checked_windows(windows: DataFrame, golden: DataFrame, keys: list[str]) -> DataFrame:
+    """The windows; the job fails at the first one that differs from its golden window, or that a golden one lacks, and names it.
+
+    windows and golden: keys, valid_from, valid_to (null: open). Keys without a golden window are not checked.
+    """
+    g = golden.select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.lit(True).alias("_gold"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
+    j = windows.withColumn("_there", F.lit(True)).join(g, on, "full")
+    same = F.col("valid_from").eqNullSafe(F.col("_from")) & F.col("valid_to").eqNullSafe(F.col("_to"))
+    named = F.concat_ws(", ", *[F.coalesce(F.col(k), F.col(f"_g_{k}")).cast("string") for k in keys])
+    wrong = F.raise_error(F.concat(F.lit("window of "), named, F.when(F.col("_there").isNull(), F.lit(" is missing")).otherwise(F.lit(" differs from the golden one"))))
+    return j.filter(F.when(F.col("_gold").isNull() | (F.col("_there").isNotNull() & same), F.lit(True)).otherwise(wrong.cast("boolean"))).select(*windows.columns)

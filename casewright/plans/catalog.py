@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import durable, graphs, identifiers, merges, naming, nesting, reports, segments, stages, statistics, statutes, streams, temporal, texts, unify, vectors  # noqa: F401  they register their queries
+from . import durable, graphs, hooks, identifiers, merges, naming, nesting, reports, segments, stages, statistics, statutes, streams, temporal, texts, unify, vectors  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from casewright.operators import temporal as t
@@ -94,3 +95,14 @@ def test_deadline(spark):
     c = spark.createDataFrame([(dt.date(2024, 1, 1),), (None,)], "at date")
     rows = t.deadlines(c, "at", "2024-04-01").collect()
     assert (rows[0].deadline, rows[0].overdue, rows[0].elapsed) == (dt.date(2024, 3, 31), True, 91) and rows[1].deadline is None
+
+
+def test_a_window_that_is_not_the_golden_one_fails_by_name(spark):
+    kind = "law string, no int, valid_from date, valid_to date"
+    day = dt.date(2020, 1, 1)
+    windows = spark.createDataFrame([("a", 1, day, dt.date(2021, 1, 1)), ("a", 2, dt.date(2021, 1, 1), None), ("b", 1, day, None)], kind)
+    good = spark.createDataFrame([("a", 1, day, dt.date(2021, 1, 1)), ("a", 2, dt.date(2021, 1, 1), None)], kind)
+    assert t.checked_windows(windows, good, ["law", "no"]).count() == 3
+    for bad, what in (([("a", 2, day, None)], "a, 2 differs"), ([("c", 9, day, None)], "c, 9 is missing"), ([("b", 1, day, day)], "b, 1 differs")):
+        with pytest.raises(Exception, match=f"window of {what}"):
+            t.checked_windows(windows, spark.createDataFrame(bad, kind), ["law", "no"]).collect()
