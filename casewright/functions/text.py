@@ -301,3 +301,33 @@ def repaired_json(c: Column) -> Column:
 def has_access(level: Column, until: Column, as_of: str) -> Column:
     """Whether a subscriber's access holds on a day; an open end never ends."""
     return (level == "SUBSCRIBER") & (until.isNull() | (until >= F.lit(as_of).cast("date")))
+
+
+#: Parts of a narrative in the order in which its text names them (fixed values).
+NARRATIVE = ("fact_summary", "legal_context", "court_reasoning", "conclusion", "plaintiff_arguments", "defendant_arguments")
+
+
+def narrative_text(part: Callable[[str], Column], most: int = 4000) -> Column:
+    """[name] text, a line for each part of a narrative that is not empty; ``part``: name -> column."""
+    lines = [F.when(F.coalesce(part(n), F.lit("")) != "", F.concat(F.lit(f"[{n}] "), part(n))) for n in NARRATIVE]
+    return F.substring(F.concat_ws("\n", *lines), 1, most)
+
+
+def issue_logic_text(outline: Column, issues: Column, chains: Column, most: int = 4000) -> Column:
+    """The outline, the first three issues and the first three arguments (issue: premise) as labelled lines; arguments without an issue are left out."""
+    head = F.when(F.coalesce(outline, F.lit("")) != "", F.concat(F.lit("[개요] "), F.substring(outline, 1, 500)))
+    told = F.transform(F.slice(F.coalesce(issues, F.array().cast("array<string>")), 1, 3), lambda i: F.concat(F.lit("[쟁점] "), F.substring(F.coalesce(i, F.lit("")), 1, 300)))
+    line = lambda c: F.when(F.coalesce(c["issue"], F.lit("")) != "", F.concat(F.lit("[논거] "), F.substring(c["issue"], 1, 200), F.lit(": "), F.substring(F.coalesce(c["premise"], F.lit("")), 1, 200)))
+    argued = F.array_compact(F.transform(F.slice(F.coalesce(chains, F.filter(F.array(F.struct(F.lit("").alias("issue"), F.lit("").alias("premise"))), lambda _: F.lit(False))), 1, 3), line))
+    return F.substring(F.array_join(F.concat(F.array_compact(F.array(head)), told, argued), "\n"), 1, most)
+
+
+def raw_text(paragraphs: Column, most: int = 4000) -> Column:
+    """The first twenty paragraphs, 200 characters of each that is not blank."""
+    cut = F.transform(F.slice(paragraphs, 1, 20), lambda p: F.substring(F.trim(F.coalesce(p, F.lit(""))), 1, 200))
+    return F.substring(F.array_join(F.filter(cut, lambda p: p != ""), "\n"), 1, most)
+
+
+def chain_text(*parts: Column) -> Column:
+    """The parts of an argument that are not empty, one under the other."""
+    return F.concat_ws("\n", *[F.when(p != "", p) for p in parts])

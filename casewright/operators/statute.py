@@ -139,3 +139,23 @@ def ranked_article(units_: DataFrame, number: str) -> DataFrame:
     r = units_.withColumn("_k", F.when(heading, 1).when(plain, 2)).filter("_k is not null")
     w = Window.partitionBy("law_id").orderBy("_k", "article_id", "level")
     return r.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_k", "_r")
+
+
+def find_articles(laws: DataFrame, asks: DataFrame) -> DataFrame:
+    """asks (law_id, article_id) with the article of that id, wherever in the law it stands, and the chapter; null where there is none.
+
+    laws: law_id, chapters (nested, one row a law). Articles of a chapter come before those of its sections; an article
+    that stands twice is found once. Laws are searched in place: only the article asked for leaves its row.
+    """
+    of = lambda c: F.concat(c["articles"], F.flatten(F.transform(c["sections"], lambda s: s["articles"])))
+    held = F.flatten(F.transform("chapters", lambda c: F.transform(of(c), lambda a: F.struct(c["id"].alias("chapter_id"), a.alias("article")))))
+    wanted = asks.select("law_id", "article_id").distinct()
+    listed = wanted.groupBy("law_id").agg(F.collect_set("article_id").alias("_ids"))
+    hits = laws.join(listed, "law_id").select("law_id", F.posexplode(F.filter(held, lambda h: F.array_contains("_ids", h["article"]["id"]))).alias("_k", "_h"))
+    first = hits.groupBy("law_id", F.col("_h.article.id").alias("article_id")).agg(F.min_by("_h", "_k").alias("_h"))
+    return wanted.join(first, ["law_id", "article_id"], "left").select("law_id", "article_id", F.col("_h.chapter_id").alias("chapter_id"), F.col("_h.article").alias("article"))
+
+
+def chapter_list(laws: DataFrame) -> DataFrame:
+    """law_id, chapter_id: each law's chapters, each once."""
+    return laws.select("law_id", F.explode(F.transform("chapters", lambda c: c["id"])).alias("chapter_id")).distinct()

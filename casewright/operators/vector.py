@@ -81,9 +81,15 @@ def top_k_by_class(df: DataFrame, query: list[float], quotas: dict, klass: str,
     return rows.withColumn("rank", rank).filter(F.col("rank") <= quota)
 
 
-def nearest_match(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str, vector: str) -> DataFrame:
-    """For each left row the right row of its group with the largest cosine (ties by right key): group, keys, score."""
-    r = right.select(group, F.col(right_key).alias("_rk"), F.col(vector).alias("_rv"))
+def nearest_match(left: DataFrame, right: DataFrame, group: str, left_key: str, right_key: str, vector: str, most: int = 10_000) -> DataFrame:
+    """For each left row the right row of its group with the largest cosine (ties by right key): group, keys, score.
+
+    Every left row meets its group's right rows, so groups must be small (the issues of one case): the job fails, and names
+    the group, where one has over ``most`` right rows. Only the best of a task's rows is shuffled.
+    """
+    n = F.count("*").over(Window.partitionBy(group))
+    large = F.raise_error(F.concat(F.lit("too many rows to match in group "), F.coalesce(F.col(group).cast("string"), F.lit("null")))).cast("boolean")
+    r = right.select(group, F.col(right_key).alias("_rk"), F.col(vector).alias("_rv")).withColumn("_n", n).filter(F.when(F.col("_n") > most, large).otherwise(True)).drop("_n")
     joined = left.select(group, F.col(left_key).alias("_lk"), F.col(vector).alias("_lv")).join(r, group)
     joined = joined.withColumn("_s", F.round(cosine(F.col("_lv"), F.col("_rv")), 6))
     best = F.max(F.struct(F.col("_s"), (-F.col("_rk")).alias("_n")))

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casewright.operators import nested, segment
+from casewright.functions import text as x
+from casewright.operators import nested, segment, statute
 from casewright.sources.shared import shared_dir
 from casewright.sources.versioned import VersionedTable
 
@@ -85,3 +86,34 @@ def reduced_texts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("total"))
     add = lambda t: F.aggregate(F.split(t, "\n"), F.lit(0).cast("long"), lambda a, n: a + n.cast("long")).cast("string")
     return segment.reduce_in_one_job(li, "l_orderkey", "l_linenumber", "total", lambda t: F.length(t).cast("long"), 18, add, block=4)
+
+
+@query("""WITH a AS (SELECT DISTINCT o.o_custkey AS law_id, o.o_orderkey, o.o_orderstatus, o.o_orderpriority FROM orders o JOIN lineitem l ON l_orderkey = o_orderkey),
+q AS (SELECT DISTINCT o_custkey AS law_id, o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 10000000 ELSE 0 END AS no FROM orders)
+SELECT q.law_id, 'ART_' || no AS article_id, o_orderpriority AS chapter_id, o_orderstatus AS title, (SELECT count(*) FROM lineitem WHERE l_orderkey = a.o_orderkey) AS paragraphs FROM q LEFT JOIN a ON a.law_id = q.law_id AND a.o_orderkey = q.no""")
+def articles_by_id(spark, sf_dir):
+    """Every order asked for as an article of its customer's law, in chapters and in sections; a fifth is asked for under a number that there is not."""
+    o = table(spark, sf_dir, "orders")
+    no = F.col("o_orderkey") + F.when(F.col("o_orderkey") % 5 == 0, 10_000_000).otherwise(0)
+    asks = o.select(F.col("o_custkey").alias("law_id"), F.concat(F.lit("ART_"), no).alias("article_id"))
+    f = statute.find_articles(_laws(spark, sf_dir), asks)
+    return f.select("law_id", "article_id", "chapter_id", F.col("article.title").alias("title"), F.when(F.col("article").isNotNull(), F.size("article.paragraphs")).otherwise(0).cast("long").alias("paragraphs"))
+
+
+@query("SELECT DISTINCT o_custkey AS law_id, o_orderpriority AS chapter_id FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def chapters_of_laws(spark, sf_dir):
+    return statute.chapter_list(_laws(spark, sf_dir))
+
+
+@query("""WITH l AS (SELECT doc_id, lang, source, text, string_split(text, chr(10)) AS ls FROM documents)
+SELECT doc_id, substring('[fact_summary] ' || source || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '[court_reasoning] ' || text || chr(10) ELSE '' END || '[defendant_arguments] ' || lang, 1, 4000) AS narrative,
+substring(CASE WHEN doc_id % 3 > 0 THEN '[개요] ' || substring(text, 1, 500) || chr(10) ELSE '' END || array_to_string(list_transform(ls[1:3], lambda x: '[쟁점] ' || substring(x, 1, 300)), chr(10)) || chr(10) || '[논거] ' || source || ': ' || substring(text, 1, 200), 1, 4000) AS logic,
+substring(array_to_string(list_filter(list_transform(ls[1:20], lambda x: substring(trim(x), 1, 200)), lambda x: x <> ''), chr(10)), 1, 4000) AS raw,
+source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || lang END AS chain FROM l""")
+def case_text_variants(spark, sf_dir):
+    """The three texts that a case may be embedded by, each with its parts, limits and labels, and an argument's chain."""
+    d = table(spark, sf_dir, "documents").withColumn("ls", F.split("text", "\n"))
+    parts = {"fact_summary": F.col("source"), "court_reasoning": F.when(F.col("doc_id") % 2 == 0, F.col("text")), "conclusion": F.lit(""), "defendant_arguments": F.col("lang")}
+    chains = F.array(F.struct(F.lit("").alias("issue"), F.col("lang").alias("premise")), F.struct(F.col("source").alias("issue"), F.col("text").alias("premise")))
+    return d.select("doc_id", x.narrative_text(lambda n: parts.get(n, F.lit(None).cast("string"))).alias("narrative"), x.issue_logic_text(F.when(F.col("doc_id") % 3 > 0, F.col("text")), F.col("ls"), chains).alias("logic"),
+                    x.raw_text(F.col("ls")).alias("raw"), x.chain_text(F.col("source"), F.lit(None).cast("string"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("lang"))).alias("chain"))

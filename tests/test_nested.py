@@ -66,3 +66,17 @@ def test_texts_are_reduced_as_by_rounds(spark, block):
         assert one["a"] == two["a"]
     with pytest.raises(Exception, match="do not fit the budget: a"):
         segment.reduce_in_one_job(df.filter("doc = 'a'"), "doc", "k", "t", size, 3, half, block=block).collect()
+
+
+def test_articles_are_found_once_and_large_groups_fail(spark):
+    from casewright.operators import statute, vector
+
+    a = lambda k, n=0: (k, [(str(i), "t", None) for i in range(n)])
+    laws = spark.createDataFrame([(1, [("c1", [a("A1", 2)], [("s", [a("A2"), a("A1", 5)], [])]), ("c2", [a("A3", 1)], [])])], LAW)
+    asks = spark.createDataFrame([(1, "A1"), (1, "A1"), (1, "A2"), (1, "A9"), (2, "A1")], "law_id int, article_id string")
+    got = sorted((r.law_id, r.article_id, r.chapter_id, r.article and len(r.article.paragraphs)) for r in statute.find_articles(laws, asks).collect())
+    assert got == [(1, "A1", "c1", 2), (1, "A2", "c1", 0), (1, "A9", None, None), (2, "A1", None, None)]
+    rows = spark.range(12).select(F.col("id").alias("k"), F.lit("g").alias("g"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("v"))
+    assert vector.nearest_match(rows, rows, "g", "k", "k", "v", most=12).count() == 12
+    with pytest.raises(Exception, match="too many rows to match in group g"):
+        vector.nearest_match(rows, rows, "g", "k", "k", "v", most=11).collect()
