@@ -62,12 +62,13 @@ def version_poll_reindex(spark, sf_dir):
     second = F.when(F.col("o_orderkey") % 4 == 1, F.concat("o_orderstatus", F.lit("2"))).otherwise(F.col("o_orderstatus"))
     listed = [(F.col("o_orderkey") % 3 != 0, F.col("o_orderstatus")), (F.lit(True), second), ((F.col("o_orderkey") % 5 != 2) & (F.col("o_custkey") % 7 != 3), second)]
     index = VersionedTable.create(own, f"{home}/index", "law string, version string, digest string, poll long, o_totalprice double", ["law", "version"], 16)
+    known = polls.known_table(own, f"{home}/known", 16)
     facts = o.select("law", "version", F.col("o_totalprice").cast("double").alias("o_totalprice"))
     for number, (there, digest) in enumerate(listed):
         pairs = F.filter(F.collect_list(F.when(there, F.struct("version", digest.alias("digest")))), lambda x: x.isNotNull())
         o.groupBy("law").agg(F.map_from_entries(pairs).alias("listed")).select("law", F.lit(number).cast("long").alias("poll"), "listed").write.mode("append").parquet(f"{home}/in")
-        found = polls.changes(own.readStream.schema("law string, poll long, listed map<string, string>").parquet(f"{home}/in"))
-        ingest.run_available(found, polls.apply_changes(index, lambda c: c.join(facts, ["law", "version"]).drop("op")), f"{home}/state")
+        arrived = own.readStream.schema("law string, poll long, listed map<string, string>").parquet(f"{home}/in")
+        ingest.run_available(arrived, polls.apply_polls(index, known, lambda c: c.join(facts, ["law", "version"]).drop("op")), f"{home}/state")
     return index.read().select("law", "version", "digest", (F.col("poll") + 1).cast("int").alias("poll"), "o_totalprice")
 
 

@@ -101,6 +101,11 @@ class VersionedTable:
         """The rows of a version, by default of the newest."""
         return self._rows(self.manifest(version))
 
+    def near(self, keys: DataFrame) -> DataFrame:
+        """The rows of the buckets that hold the keys, and so all rows of the keys."""
+        m = self.manifest()
+        return self._rows(m, self._touched(m, keys))
+
     def _rows(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(m["schema"]))
         folders = [f"{self.path}/{f}" for b, f in m["folders"].items() if buckets is None or int(b) in buckets]

@@ -121,6 +121,39 @@ def test_polls_retract_and_old_polls_say_nothing(spark, tmp_path):
     assert len(index.versions()) == 3
 
 
+def test_polls_are_compared_without_python_for_each_law(spark, tmp_path):
+    home = f"file://{tmp_path}"
+    schema = "law string, poll long, listed map<string, string>"
+    index = VersionedTable.create(spark, f"{home}/index", "law string, version string, digest string, poll long", ["law", "version"], 4)
+    known = polls.known_table(spark, f"{home}/known", 4)
+    told = lambda batch: sorted((r.law, r.poll, r.op, r.version) for r in polls.listing_changes(known.near(batch), batch).collect())
+
+    def poll(*rows):
+        spark.createDataFrame([*rows], schema).write.mode("append").parquet(f"{home}/in")
+        plans = []
+
+        def sink(batch, number):
+            plans.append(polls.listing_changes(known.near(batch), batch)._jdf.queryExecution().toString())
+            found.extend(told(batch))
+            if number == 1:
+                # breaks off after the index was committed, before the lists are
+                polls.apply_changes(index, lambda c: c.drop("op"), "polls")(polls.listing_changes(known.near(batch), batch), number)
+            apply = polls.apply_polls(index, known, lambda c: c.drop("op"))
+            apply(batch, number)
+            apply(batch, number)
+
+        found = []
+        ingest.run_available(spark.readStream.schema(schema).parquet(f"{home}/in"), sink, f"{home}/state")
+        assert not any("Python" in p or "Pandas" in p for p in plans)
+        return found
+
+    assert poll(("a", 1, {"1": "x", "2": "y"}), ("b", 1, {"1": "z"}), ("c", 5, {"1": "x"})) == [("a", 1, "added", "1"), ("a", 1, "added", "2"), ("b", 1, "added", "1"), ("c", 5, "added", "1")]
+    assert poll(("a", 2, {"2": "Y", "3": "w"}), ("a", 3, {"3": "w"}), ("b", 2, {})) == [("a", 2, "added", "3"), ("a", 2, "changed", "2"), ("a", 2, "gone", "1"), ("a", 3, "gone", "2"), ("b", 2, "gone", "1")]
+    assert poll(("a", 2, {"9": "late"}), ("c", 5, {"2": "again"}), ("b", 3, {"1": "z"})) == [("b", 3, "added", "1")]
+    assert sorted(tuple(r) for r in index.read().collect()) == [("a", "3", "w", 2), ("b", "1", "z", 3), ("c", "1", "x", 5)]
+    assert sorted((r.law, r.poll, r.listed) for r in known.read().collect()) == [("a", 3, {"3": "w"}), ("b", 3, {"1": "z"}), ("c", 5, {"1": "x"})]
+
+
 def test_groups_wait_for_items_marks_or_time(spark, tmp_path):
     own = polls.stateful_session(spark)
     home, schema = f"file://{tmp_path}", "group string, item string, expected long, done boolean, at timestamp"
