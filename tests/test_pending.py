@@ -77,6 +77,16 @@ def test_longest_names_among_thousands(spark, block):
         assert got[k] == min(fits, key=lambda n: (-len(n), n.encode()), default=None), (t, got[k])
 
 
+def test_more_names_than_an_automaton_holds_are_not_gathered(spark, monkeypatch):
+    monkeypatch.setattr(names, "_finder", lambda held: pytest.fail("names gathered on the driver"))
+    known = spark.range(3000).select(F.concat(F.lit("law "), "id").alias("n"))
+    df = spark.createDataFrame([(1, "see law2999."), (2, "law 17, law 4"), (3, "law x"), (4, "law 17, law 4"), (5, None), (6, "😀 law 5😀")], "k int, t string")
+    hits = names.longest_name(df, "t", known, "n", "hit", 1000)
+    assert {r.k: r.hit for r in hits.collect()} == {1: "law 2999", 2: "law 17", 3: None, 4: "law 17", 5: None, 6: "law 5"}
+    # one search of the texts however many names there are
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas [d") == 1
+
+
 def test_slugs_by_name_or_ending(spark):
     laws = spark.createDataFrame([("소득세법", "income", "law"), ("특별시행령", "odd", "law")], "name string, slug string, kind string")
     asked = ["소득세법", "소득세법 시행령", "소득세법시행규칙", "특별시행령", "민법 시행령", "시행령", None]
