@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LISTS, _NODE = "array<variant>", "map<string,variant>"
 
 
+def once(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f(v) with v worked out once, however often f names it: Spark shares no common parts within lambdas."""
+    return F.get(F.transform(F.array(v), f), F.lit(0))
+
+
 def field(v: Column, *names: str) -> Column:
     """The node's field, or a field below it; null where there is none or v is no node."""
     return F.try_variant_get(v, "$" + "".join(f"['{n}']" for n in names), "variant")
 
 
 def is_list(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, "$", _LISTS).isNotNull()
 
 
 def is_node(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    # a struct without fields: none of the node's are copied
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def is_text(v: Column) -> Column:
@@ -27,13 +35,15 @@ def is_text(v: Column) -> Column:
 
 def scalar(v: Column) -> Column:
     """A text, number or truth value as text; null for null, lists and nodes."""
-    return F.when(~is_list(v) & ~is_node(v), F.try_variant_get(v, "$", "string"))
+    # lists and nodes become JSON, so only what looks like it needs a second look
+    told = lambda u, t: F.when(F.substring(t, 1, 1).isin("[", "{") & (is_list(u) | is_node(u)), F.lit(None)).otherwise(t)
+    return once(v, lambda u: once(F.try_variant_get(u, "$", "string"), lambda t: told(u, t)))
 
 
 def many(v: Column) -> Column:
     """Array of variants: a list's elements, anything else as the only one, nothing for null."""
     none = F.array().cast(_LISTS)
-    return F.when(v.isNull() | F.is_variant_null(v), none).otherwise(F.coalesce(F.try_variant_get(v, "$", _LISTS), F.array(v)))
+    return once(v, lambda u: F.when(u.isNull() | F.is_variant_null(u), none).otherwise(F.coalesce(F.try_variant_get(u, "$", _LISTS), F.array(u))))
 
 
 def nodes(v: Column) -> Column:
@@ -55,14 +65,17 @@ def flat(v: Column) -> Column:
     """Array of what lists in lists hold, in order, to any depth; nodes stay whole.
 
     Each level unwraps the lists that are left, as often as the value is deep, so the plan does not grow with the depth.
+    The depth is only looked for where a list holds lists.
     """
     unwrap = lambda a, _: F.flatten(F.transform(a, many))
-    return F.aggregate(F.sequence(F.lit(0), depth(v)), many(v), unwrap)
+    deep = lambda u, first: F.aggregate(F.sequence(F.lit(0), depth(u)), first, unwrap)
+    return once(v, lambda u: once(many(u), lambda first: F.when(F.exists(first, is_list), deep(u, first)).otherwise(first)))
 
 
 def texts(v: Column) -> Column:
     """The scalars of flat() as texts; nodes and nulls are left out."""
-    return F.filter(F.transform(flat(v), scalar), lambda t: t.isNotNull())
+    every = lambda u: F.filter(F.transform(flat(u), scalar), lambda t: t.isNotNull())
+    return once(v, lambda u: once(scalar(u), lambda t: F.when(t.isNotNull(), F.array(t)).otherwise(every(u))))
 
 
 def block_texts(v: Column) -> Column:

@@ -20,8 +20,9 @@ def _joined(c: Column, between: str) -> Column:
 
 def plain(c: Column) -> Column:
     """A text, or lists of texts as one, without a leading circled digit or number; markup stays as it is; '' for null."""
-    whole = F.coalesce(v.scalar(c), _joined(c, " "))
-    return F.when(whole.rlike(r"(?s)<.*>") & ~v.is_list(c), F.trim(whole)).otherwise(F.trim(F.regexp_replace(whole, r"^[①②③④⑤⑥⑦⑧⑨⑩\d]+\s*[.)]?\s*", "")))
+    bare = lambda t: F.trim(F.regexp_replace(t, r"^[①②③④⑤⑥⑦⑧⑨⑩\d]+\s*[.)]?\s*", ""))
+    whole = lambda u: F.coalesce(v.scalar(u), _joined(u, " "))
+    return v.once(c, lambda u: v.once(whole(u), lambda t: F.when(t.rlike(r"(?s)<.*>") & ~v.is_list(u), F.trim(t)).otherwise(bare(t))))
 
 
 def _name(c: Column) -> Column:

@@ -57,3 +57,15 @@ def test_articles_under_their_headings(spark):
     assert [tuple(s) for s in p["items"][0].subitems] == [("가", "")] and rows[2].paragraphs == []
     with pytest.raises(Exception, match="before the first chapter"):
         u.unified_articles(df, strict=True).collect()
+
+
+def test_a_value_is_worked_out_once(spark):
+    # 20 nested calls, each naming its value several times, would work out the innermost text 3 ** 20 times
+    v_ = F.parse_json(F.lit('{"a":[["1. x"],"<b>"]}'))
+    c = v.field(v_, "a")
+    for _ in range(20):
+        c = F.to_variant_object(F.array(v.once(c, lambda u: F.when(v.is_list(u) & ~v.is_node(u), u).otherwise(u))))
+    assert spark.range(1).select(v.texts(c).alias("t")).first().t == ["1. x", "<b>"]
+    odd = spark.createDataFrame([('"[no list"',), ('"{}"',), ("{}",), ("[]",), ("null",), ("1.5",), (None,)], "j string").select(F.parse_json("j").alias("v"))
+    assert [tuple(r) for r in odd.select(v.scalar(F.col("v")), v.is_list(F.col("v")), v.is_node(F.col("v")), v.texts(F.col("v"))).collect()] == [
+        ("[no list", False, False, ["[no list"]), ("{}", False, False, ["{}"]), (None, False, True, []), (None, True, False, []), (None, False, False, []), ("1.5", False, False, ["1.5"]), (None, False, False, [])]
