@@ -3,6 +3,7 @@
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from casewright.sources.versioned import Conflict, VersionedTable
@@ -168,3 +169,45 @@ def test_groups_wait_for_items_marks_or_time(spark, tmp_path):
     assert arrive(1, ("a", "1", 2, False), ("a", "1", None, False), ("b", "1", None, False), ("c", "1", 1, False)) == [("c", 1, "complete")]
     assert arrive(2, ("a", "2", None, None), ("b", "2", None, True), ("c", "2", None, False), ("d", "1", 5, False)) == [("a", 2, "complete"), ("b", 2, "complete"), ("c", 1, "complete")]
     assert ("d", 1, "timed out") in arrive(6, ("e", "1", 9, False))
+
+
+def test_the_gate_calls_the_state_no_more_than_it_must():
+    calls, values, items, timers = [], [None], {}, []
+
+    class Value:
+        exists = staticmethod(lambda: values[0] is not None)
+        get = staticmethod(lambda: values[0])
+        update = staticmethod(lambda v: values.__setitem__(0, v))
+
+    class Items:
+        def containsKey(self, k):
+            calls.append("has")
+            return k in items
+
+        def updateValue(self, k, v):
+            calls.append("put")
+            items[k] = v
+
+        def keys(self):
+            calls.append("keys")
+            return list(items)
+
+        clear = staticmethod(items.clear)
+
+    class Handle:
+        getValueState = staticmethod(lambda *_: Value)
+        getMapState = staticmethod(lambda *_: Items())
+        registerTimer = staticmethod(timers.append)
+
+    gate = polls._Gate(1000)
+    gate.init(Handle)
+
+    def arrive(*said, expected=None):
+        calls.clear()
+        rows = [Row(item=i, expected=None, done=False, ms=5) for i in said] + [Row(item=None, expected=expected, done=None, ms=7)]
+        return [tuple(r) for r in gate.handleInputRows(("g",), iter(rows), None)], calls.copy()
+
+    assert arrive("a", "b", "a", "b") == ([], ["put", "put"]) and timers == [1005]
+    assert arrive("b", "c", "c") == ([], ["keys", "put"])
+    assert arrive("a", "d", expected=4) == ([("g", 4, "complete")], ["keys"]) and items == {}
+    assert arrive("e", expected=9) == ([], []) and list(gate.handleExpiredTimer(("g",), None, None)) == []
