@@ -35,9 +35,11 @@ def with_norm_units(laws: DataFrame, norms: DataFrame, refs: DataFrame) -> DataF
     a map by article, and set by nested transforms: no row leaves its law, so order and depth stay as they are.
     """
     keys = ["law_id", "article_id", "level", "ref"]
-    n = norms.groupBy(*keys).agg(F.min(F.struct("roles", "short_label")).alias("n"))
-    r = refs.groupBy(*keys).agg(F.min("cross_refs").alias("cross_refs"))
-    tag = n.join(r, keys, "full").select(*keys, "n.roles", "n.short_label", "cross_refs")
+    label = norms.select(*keys, F.struct("roles", "short_label").alias("n"))
+    cited = refs.select(*keys, "cross_refs")
+    every = label.withColumn("cross_refs", F.lit(None).cast(cited.schema["cross_refs"].dataType)).unionByName(cited.withColumn("n", F.lit(None).cast(label.schema["n"].dataType)))
+    # a law's tags come together once; units, articles and laws are then grouped where they lie
+    tag = every.repartition("law_id").groupBy(*keys).agg(F.min("n").alias("n"), F.min("cross_refs").alias("cross_refs")).select(*keys, "n.roles", "n.short_label", "cross_refs")
     by_article = tag.groupBy("law_id", "article_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(" ", "level", "ref").alias("k"), F.struct("roles", "short_label", "cross_refs").alias("v")))).alias("tags"))
     by_law = by_article.groupBy("law_id").agg(F.map_from_entries(F.collect_list(F.struct("article_id", "tags"))).alias("_tags"))
 

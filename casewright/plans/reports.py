@@ -18,7 +18,8 @@ def _laws(spark, sf_dir):
     item = F.struct(F.col("l_returnflag").alias("item_no"), F.col("l_linestatus").alias("text"), none.alias("subitems"))
     para = F.struct(F.col("l_linenumber").cast("string").alias("para_no"), F.concat(F.lit("p"), "l_partkey").alias("text"), F.when(F.col("l_linenumber") % 2 == 1, F.array(item)).otherwise(F.array().cast("array<struct<item_no:string,text:string,subitems:array<struct<subitem_no:string,text:string>>>>")).alias("items"))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(para)).alias("paragraphs"))
-    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey")
+    # a customer's orders come together once, for sections, chapters and laws
+    o = table(spark, sf_dir, "orders").join(lines, "o_orderkey").repartition("o_custkey")
     art = F.struct(F.concat(F.lit("ART_"), "o_orderkey").alias("id"), F.col("o_orderstatus").alias("title"), F.col("o_orderpriority").alias("raw_text"), F.when(F.col("o_orderkey") % 7 == 0, "own").alias("domain"), "paragraphs")
     s = o.groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(F.collect_list(art).alias("a"))
     empty = F.array().cast(s.schema["a"].dataType)

@@ -80,3 +80,13 @@ def test_articles_are_found_once_and_large_groups_fail(spark):
     assert vector.nearest_match(rows, rows, "g", "k", "k", "v", most=12).count() == 12
     with pytest.raises(Exception, match="too many rows to match in group g"):
         vector.nearest_match(rows, rows, "g", "k", "k", "v", most=11).collect()
+
+
+def test_a_laws_parts_and_tags_come_together_once(spark, sf_dir):
+    import re
+
+    import __spark_entry__ as e
+
+    plan = e.queries()["norm_units_in_place"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\((?:law_id|o_custkey)#[^)]*", plan)
+    assert len(moved) == 2, moved
