@@ -29,14 +29,15 @@ def memoised(units: DataFrame, text: str, model: str, ask: Callable[[str], str],
     Contents are addressed by the digest of model name and text. Each content that has no answer is claimed by this run
     (``owner``) in the memo, which fails over to the other where two runs claim at once, then asked in ``pages`` lots; each
     lot's answers and failures are committed before the next lot starts, so what an interrupted run paid for stays. Claims
-    of other runs are left alone unless ``takeover``. A failed call is noted and asked again by a later run.
+    of other runs are left alone unless ``takeover``. A failed call is noted and asked again by a later run. Only digests
+    are compared with the memo; a run shuffles the units' texts once and writes those it asks about. ``units`` is read for
+    the digests, for the texts and for the result, so stage it if it is costly.
     """
     asked = units.withColumn("_digest", _digest(model, text))
-    contents = asked.groupBy(F.col("_digest").alias("digest")).agg(F.first(text).alias("text"))
     known = memo.read().withColumnRenamed("digest", "_k")
-    open_ = contents.join(known, F.col("digest") == F.col("_k"), "left").filter(
+    open_ = asked.select(F.col("_digest").alias("digest")).distinct().join(known, F.col("digest") == F.col("_k"), "left").filter(
         F.col("_k").isNull() | ((F.col("status") == "failed") & (F.col("calls") < tries)) | ((F.col("status") == "claimed") & (F.lit(takeover) | (F.col("owner") == owner))))
-    todo = written(open_.select("digest", "text", F.col("_k").isNotNull().alias("known"), F.coalesce("calls", F.lit(0)).alias("calls"), F.pmod(F.xxhash64("digest"), F.lit(pages)).alias("page")), "memo-todo")
+    todo = written(open_.select("digest", F.col("_k").isNotNull().alias("known"), F.coalesce("calls", F.lit(0)).alias("calls"), F.pmod(F.xxhash64("digest"), F.lit(pages)).alias("page")), "memo-todo")
     claim = todo.select("digest", "known", F.lit("claimed").alias("status"), F.lit(owner).alias("owner"), "calls", F.lit(None).cast("string").alias("answer"))
     for again in (False, True):
         part = claim.filter(F.col("known") == again).drop("known")
@@ -55,8 +56,12 @@ def memoised(units: DataFrame, text: str, model: str, ask: Callable[[str], str],
             yield pd.DataFrame(out, columns=["digest", "status", "owner", "calls", "answer"])
 
     mine = memo.read().filter((F.col("status") == "claimed") & (F.col("owner") == owner)).select("digest")
+    claimed = todo.join(mine, "digest", "left_semi").select("digest", "calls", "page")
+    # copies are reduced where they lie, so a frequent content does not gather in one task
+    contents = asked.groupBy(F.col("_digest").alias("digest")).agg(F.first(text).alias("text"))
+    texts = written(contents.join(claimed, "digest"), "memo-texts")
     for page in range(pages):
-        lot = written(todo.filter(F.col("page") == page).join(mine, "digest", "left_semi").select("digest", "text", "calls").mapInPandas(each, SCHEMA), "memo-answers")
+        lot = written(texts.filter(F.col("page") == page).select("digest", "text", "calls").mapInPandas(each, SCHEMA), "memo-answers")
         if not lot.isEmpty():
             memo.merge(lot)
     answers = memo.read().filter("status = 'done'").select(F.col("digest").alias("_digest"), "answer")

@@ -127,10 +127,10 @@ def paged_collection(spark, sf_dir):
 def memoised_tags(spark, sf_dir):
     """Tags of all documents in two runs over overlapping halves, by a stand-in for a model: each content is asked once."""
     memo_ = memo.memo_table(spark, _home(spark, "memo"), 16)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # both digests are taken beside the text, so that it need not come along to the answers
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("digest"), F.sha2(F.concat(F.lit("tags\u001f"), "text"), 256).alias("_d"))
     tag = lambda t: f"{len(t)}:{t[:20]}"
     memo.memoised(d.filter("doc_id % 3 <> 0"), "text", "tags", tag, memo_, "first")
     answers = memo.memoised(d, "text", "tags", tag, memo_, "second")
     calls = memo_.read().select(F.col("digest").alias("_d"), "calls")
-    told = answers.withColumn("_d", F.sha2(F.concat(F.lit("tags\u001f"), "text"), 256)).join(calls, "_d")
-    return told.groupBy(F.sha2("text", 256).alias("digest"), "answer", "calls").agg(F.count("*").alias("units")).select("digest", "answer", "units", "calls")
+    return answers.join(calls, "_d").groupBy("digest", "answer", "calls").agg(F.count("*").alias("units")).select("digest", "answer", "units", "calls")

@@ -1,10 +1,12 @@
 """Paged collection, memoised models and known names."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as e
 from casewright.operators import memo, names
 from casewright.sources import paged
 from casewright.sources.versioned import VersionedTable
@@ -62,6 +64,25 @@ def test_equal_units_are_asked_once_and_a_failed_run_goes_on(spark, tmp_path):
     assert memo.memoised(one, "t", "n", flaky, table, "run5", takeover=True).first().answer == "t1!"
 
 
+def test_texts_move_once_in_a_run_and_not_to_the_answers(spark, sf_dir, capsys, monkeypatch):
+    def moved(df):
+        """Exchanges that a text, or the first text of a group, goes through."""
+        capsys.readouterr()
+        df.explain("formatted")
+        return sum("text#" in x or "first#" in x for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out))
+
+    found, keep = [], memo.written
+    monkeypatch.setattr(memo, "written", lambda df, name: found.append(moved(df)) or keep(df, name))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = e.queries()["memoised_tags"](spark, sf_dir)
+        assert sum(found) == 2
+        assert moved(told) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 @pytest.mark.parametrize("block", [100_000, 700])
 def test_longest_names_among_thousands(spark, block):
     rng = random.Random(1)
